@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_counts
+from . import bpe, decontamination, language_id, quality_classifier, quality_rules, simhash, token_counts
 from .common import table
 
 
@@ -14,9 +15,37 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id", "window").agg(F.max("matched").alias("matched"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.with_score(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.with_language(docs.drop("lang"), language_id.train(docs))
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.apply_policy(quality_rules.ledger(texts(spark, sf_dir)), "v1")
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return book.select("doc_id", *measures, quality_rules.rejected("base").alias("base_failed"), "kept", "failed_bits")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_counts(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    counted = token_counts.with_counts(texts(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +54,21 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.with_digests(docs, tokenizer_path("byte_bpe_50k.json"))
+    out = bpe.with_digests(texts(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op9_simhash_dedup, op10_bpe_round_trip)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op3_quality_classifier,
+        op5_language_id,
+        op6_quality_rules,
+        op7_token_counts,
+        op9_simhash_dedup,
+        op10_bpe_round_trip,
+    )
+}
+#: The others are fitted models, exact tokenizers or iterative; tests hold them against brute force.
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op6_quality_rules": quality_rules.ORACLE}

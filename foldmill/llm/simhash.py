@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, release
+from .common import append_columns, fresh, materialize, release, without
 
 #: Variants that a bucket owns on average at most.
 BUCKET_VARIANTS = 1 << 23
@@ -229,7 +229,6 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each a partial aggregate and a join; a step's links are
     written to the shared folder, so no lineage grows and nothing is collected.
     """
-    spark = links.sparkSession
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     edges = materialize(links.where("u <> v").select(high, low).distinct(), "links")
     seen = None
@@ -248,22 +247,41 @@ def components(links: DataFrame) -> DataFrame:
         release(large)
         release(edges)
         edges = step
-    assert spark is edges.sparkSession
     return edges.select("u", F.col("v").alias("root"))
 
 
+def classes_of(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``rows`` (doc_id, fp); root names its class."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    linked = components(ball_links(nodes, nodes.count(), radius))
+    members = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    return members.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (long), ``root`` (the fingerprint naming its class) and
     ``component_id``, the smallest doc_id of the class."""
     only = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(with_fingerprint(only, "text", width, seed).select("doc_id", "fp"), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(ball_links(nodes, nodes.count(), radius))
-    members = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Only linked fingerprints need the smallest doc_id of others.
-    ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = members.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(classes_of(rows, radius), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """``docs`` with one document of each class: the one of the smallest id (nulls last).
+
+    Rows that agree in id and text count as one document.
+    """
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keys = fresh(docs.columns, "_row_hash"), fresh(docs.columns, "_row_id")
+    key = F.xxhash64(ident.isNull(), ident, text.isNull(), text), F.coalesce(F.xxhash64(ident), F.lit(0))
+    only = docs.select(ident.alias("doc_id"), text.alias("text"), key[0].alias("h"), key[1].alias("k"))
+    rows = materialize(with_fingerprint(only, "text", width, seed).select("doc_id", "h", "k", "fp"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "k")
+    first = rows.join(classes_of(rows, radius), "fp").groupBy("root").agg(F.min(order).alias("x"))
+    first = first.select(F.col("x.h").alias(keys[0]), F.col("x.k").alias(keys[1]))
+    kept = docs.withColumns(dict(zip(keys, key))).join(first, list(keys), "left_semi")
+    return without(kept.dropDuplicates(list(keys)), keys).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_fingerprint(col: str = "fp"):
