@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,13 +63,34 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+#: Rows, and bytes of text, that an operator's Python code sees at once (one row may have more bytes).
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
+
+
+def slices(batch: pa.RecordBatch, position: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces that bound what a worker holds, whatever the lengths of the texts."""
+    column = batch.column(position)
+    if pa.types.is_list(column.type):
+        sizes = 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    else:
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = int(np.searchsorted(ends, before + SLICE_BYTES, "right"))
+        stop = min(max(stop, at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
     added: list[tuple[str, T.DataType]],
     per_batch: Callable[[list[str | None]], list[pa.Array]],
 ) -> DataFrame:
-    """``df`` with the columns that ``per_batch`` computes from the whole texts of each Arrow batch.
+    """``df`` with the columns that ``per_batch`` computes from the whole texts of each slice of rows.
 
     Rows are neither moved nor reordered.  The added columns replace columns of the same name.
     """
@@ -82,7 +105,7 @@ def append_columns(
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField(n, t, True) for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, position)):
             texts = batch.column(position).to_pylist()
             arrays = [batch.column(i) for i in range(batch.num_columns) if not (carrier and i == position)]
             labels = [batch.schema.names[i] for i in range(batch.num_columns) if not (carrier and i == position)]

@@ -34,6 +34,8 @@ LANGUAGES = 256
 #: Cosine below which a text is too far from every language.
 REJECT = 0.05
 CHUNK = 128
+#: Characters whose grams are counted at once.
+PIECE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -42,28 +44,61 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut at characters that are no letters, so that no gram is lost or counted twice.
+
+    Only a run of more than ``PIECE`` letters is cut within.
+    """
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        cut = at + PIECE
+        while cut > at and text[cut - 1].isalpha():
+            cut -= 1
+        cut = cut if cut > at else at + PIECE
+        out.append(text[at:cut])
+        at = cut
+    out.append(text[at:])
+    return out
+
+
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Gram counts (texts x SLOTS) and whether a text has a letter."""
-    parts = [np.frombuffer((" " + (t or "").lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    n = len(parts)
-    if not n:
-        return np.zeros((0, SLOTS), np.float32), np.zeros(0, bool)
-    owner = np.repeat(np.arange(n, dtype=np.int64), [len(p) for p in parts])
+    out, some = np.zeros(len(texts) * SLOTS, np.float32), np.zeros(len(texts), bool)
+    held: list[tuple[int, str]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for piece in pieces(text or ""):
+            held.append((k, piece))
+            size += len(piece) + 2
+            if size > PIECE:
+                add_counts(held, out, some)
+                held, size = [], 0
+    if held:
+        add_counts(held, out, some)
+    return out.reshape(len(texts), SLOTS), some
+
+
+def add_counts(held: list[tuple[int, str]], out: np.ndarray, some: np.ndarray) -> None:
+    """Add the grams of (row, piece) to ``out``, row-major."""
+    parts = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for _, t in held]
+    owner = np.repeat(np.array([k for k, _ in held], np.int64), [len(p) for p in parts])
+    part = np.repeat(np.arange(len(held)), [len(p) for p in parts])
     c = np.concatenate(parts)
     is_letter = letters()[c]
-    some = np.bincount(owner[is_letter], minlength=n) > 0
+    some[owner[is_letter]] = True
     c = np.where(is_letter, c, 0).astype(np.uint32)
-    keep = is_letter | np.r_[True, is_letter[:-1]]  # a run of other characters is one space
-    c, owner = c[keep], owner[keep]
+    # A run of other characters is one space, and each piece starts with one of its own.
+    keep = is_letter | np.r_[True, is_letter[:-1]] | np.r_[True, part[1:] != part[:-1]]
+    c, owner, part = c[keep], owner[keep], part[keep]
     two = (c[:-1] * np.uint32(0x9E3779B1)) ^ (c[1:] * np.uint32(0x85EBCA77))
     three = (two[:-1] * np.uint32(0xC2B2AE3D)) ^ (c[2:] * np.uint32(0x27D4EB2F))
-    out = np.zeros(n * SLOTS, np.float32)
     shift = np.uint32(32 - SLOTS.bit_length() + 1)
-    for gram, last, inner in ((two, owner[1:], c[1:]), (three, owner[2:], c[1:-1])):
-        good = (owner[: len(gram)] == last) & (inner > 0)
+    low = int(owner[0]) * SLOTS
+    size = (int(owner[-1]) + 1) * SLOTS - low
+    for gram, back, inner in ((two, 1, c[1:]), (three, 2, c[1:-1])):
+        good = (part[: len(gram)] == part[back:]) & (inner > 0)
         slot = (gram[good] * np.uint32(0x165667B1)) >> shift
-        out += np.bincount(last[good] * SLOTS + slot, minlength=n * SLOTS)
-    return out.reshape(n, SLOTS), some
+        out[low : low + size] += np.bincount(owner[back:][good] * SLOTS + slot - low, minlength=size)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -57,40 +57,47 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
     return [digest(line[a : b - 1], seed) for a, b in zip(starts, starts[width:])]
 
 
-def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -> np.ndarray:
-    """Fingerprints: a bit is 1 if it is set in over half of the text's shingle hashes."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        found = shingle_hashes(text, width, seed)
-        counts[k] = len(found)
-        hashes += found
-    out = np.zeros(len(texts), np.uint64)
+#: Shingle hashes that are summed at once.
+SUM_AT_ONCE = 1 << 19
+
+
+def add_bits(hashes: list[int], counts: np.ndarray, bits: np.ndarray) -> None:
+    """Add to ``bits`` (texts x 64) how many hashes have each bit; ``counts`` hashes belong to each text."""
     full = np.flatnonzero(counts)
     if not len(full):
-        return out
+        return
     h = np.array(hashes, np.uint64)
     # Sums of up to 255 hashes stay in eight byte lanes; then the lanes of a text's blocks are added.
     blocks = -(-counts[full] // 255)
     first = np.repeat(np.cumsum(counts[full]) - counts[full], blocks)
     inner = np.arange(len(first)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     edges, owner = first + 255 * inner, np.cumsum(blocks) - blocks
-    bits = np.zeros((len(full), 64), np.int64)
     for k in range(8):
         lanes = np.add.reduceat((h >> np.uint64(k)) & LANES, edges)
-        bits[:, k::8] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
-    over = 2 * bits > counts[full][:, None]
-    out[full] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        bits[full, k::8] += np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
+
+
+def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -> np.ndarray:
+    """Fingerprints: a bit is 1 if it is set in over half of the text's shingle hashes."""
+    bits, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    hashes: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        found = shingle_hashes(text, width, seed)
+        total[k] = counts[k] = len(found)
+        hashes += found
+        if len(hashes) > SUM_AT_ONCE or k == len(texts) - 1:
+            add_bits(hashes, counts, bits)
+            hashes, counts = [], np.zeros(len(texts), np.int64)
+    over = 2 * bits > total[:, None]
+    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:
     """``docs`` with the 64-bit fingerprint of each whole text, as a signed long."""
 
     def per_batch(texts):
-        parts = [fingerprint_batch(texts[k : k + 256], width, seed) for k in range(0, len(texts), 256)]
-        values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        return [pa.array(values.view(np.int64), pa.int64())]
+        return [pa.array(fingerprint_batch(texts, width, seed).view(np.int64), pa.int64())]
 
     return append_columns(docs, text_col, [(out, T.LongType())], per_batch)
 
