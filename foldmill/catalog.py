@@ -167,6 +167,14 @@ def lsm_flush_runs(spark, d):
     return all_runs(spark, d)
 
 
+@query(
+    f"""{EFF}, b AS (SELECT seq, key, value, sum(strlen(key) + coalesce(strlen(value), 0)) OVER (ORDER BY seq) - strlen(key) - coalesce(strlen(value), 0) AS before FROM eff)
+SELECT seq, key, value, CAST(before // 16384 AS BIGINT) AS run_seq FROM b"""
+)
+def lsm_rotate_by_bytes(spark, d):
+    return runs.runs_by_bytes(fold.effective_writes(cmdlog(spark, d)).select("seq", "key", "value"), budget=16_384)
+
+
 @query(f"{RUNS} SELECT * FROM catalog")
 def run_stats(spark, d):
     return runs.stats(all_runs(spark, d))

@@ -6,7 +6,7 @@ key.  Reads take the newest version of each key over all runs and then drop tomb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the level policy.
@@ -26,6 +26,25 @@ def flush(writes: DataFrame, rows_per_run: int = 1000, l0_runs: int = L0_RUNS) -
     return best.select("key", "x.value", "x.seq", "x.is_deleted", level.cast("int").alias("level"), "run_seq")
 
 
+def runs_by_bytes(writes: DataFrame, budget: int = BASE_BYTES, block: int = 4096) -> DataFrame:
+    """``writes`` (seq, key, value) with ``run_seq``: a new run starts each ``budget`` bytes of the log.
+
+    A prefix sum in two levels: sums of blocks of ``seq``, a running sum over blocks, windows in blocks.
+    """
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    rows = writes.withColumns({"size": size.cast("bigint"), "block": F.expr(f"seq div {block}")})
+    sums = rows.groupBy("block").agg(F.sum("size").alias("bytes")).withColumn("wide", F.expr("block div 65536"))
+    # Blocks of blocks keep even this running sum out of one task; only their few sums meet in one.
+    tops = sums.groupBy("wide").agg(F.sum("bytes").alias("bytes"))
+    past = Window.orderBy("wide").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("wide", F.coalesce(F.sum("bytes").over(past), F.lit(0)).alias("top"))
+    past = Window.partitionBy("wide").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("low", F.coalesce(F.sum("bytes").over(past), F.lit(0))).join(tops, "wide").select("block", (F.col("low") + F.col("top")).alias("before"))
+    past = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.withColumn("inner", F.coalesce(F.sum("size").over(past), F.lit(0)))
+    return inner.join(before, "block").select(*writes.columns, F.expr(f"(before + inner) div {budget}").alias("run_seq"))
+
+
 def write_sorted(rows: DataFrame, path: str, files: int = 8, bloom_keys: int = 200_000) -> None:
     """Write rows in ranges of key, sorted, with Parquet statistics and a Bloom filter on the key."""
     ranged = rows.repartitionByRange(files, "key").sortWithinPartitions("key")
@@ -111,7 +130,11 @@ def pick_l0(catalog: DataFrame) -> DataFrame:
 
 
 def compact(runs: DataFrame, level: int, target_run: int, bottom: bool = False) -> DataFrame:
-    """One run of level + 1: the newest version of each key; the bottom level drops tombstones."""
+    """One run of the next level (the deepest level stays): the newest version of each key.
+
+    At the bottom (``bottom``, or the deepest level) no older version can lie below, so tombstones go.
+    """
+    target = min(level + 1, LEVELS - 1)
     merged = newest(runs)
-    merged = merged.where("not is_deleted") if bottom else merged
-    return merged.select("key", "value", "seq", "is_deleted", F.lit(level + 1).cast("int").alias("level"), F.lit(target_run).cast("bigint").alias("run_seq"))
+    merged = merged.where("not is_deleted") if bottom or target == LEVELS - 1 else merged
+    return merged.select("key", "value", "seq", "is_deleted", F.lit(target).cast("int").alias("level"), F.lit(target_run).cast("bigint").alias("run_seq"))
