@@ -32,7 +32,7 @@ from .common import append_columns
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words in the younger half of a worker's cache; when it is full it becomes the older half.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class ByteBpe:
@@ -54,6 +54,7 @@ class ByteBpe:
         own = set(self.special.values())
         self.by_bytes = {b: k for k, b in enumerate(self.bytes_of) if b and k not in own}
         self._trie()
+        del self.by_bytes
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.size = size
@@ -64,18 +65,20 @@ class ByteBpe:
         self.exact_words = self.seen_words = 0
 
     def _trie(self) -> None:
-        """Dense transitions of the trie's inner nodes."""
+        """Transitions of the trie of all tokens, sorted by node and byte."""
         inner: dict[bytes, int] = {b"": 0}
         for token in self.by_bytes:
             for n in range(1, len(token)):
                 inner.setdefault(token[:n], len(inner))
-        self.step = np.full((len(inner), 256), -1, np.int32)  # inner node reached, or -1
-        self.found = np.full((len(inner), 256), -1, np.int32)  # token completed by this byte, or -1
+        moves: dict[int, list[int]] = {}
         for prefix, k in inner.items():
             if prefix:
-                self.step[inner[prefix[:-1]], prefix[-1]] = k
+                moves[inner[prefix[:-1]] << 8 | prefix[-1]] = [k, -1]
         for token, k in self.by_bytes.items():
-            self.found[inner[token[:-1]], token[-1]] = k
+            moves.setdefault(inner[token[:-1]] << 8 | token[-1], [-1, -1])[1] = k
+        self.moves = np.array(sorted(moves), np.int64)
+        #: For each move the inner node reached and the token completed, or -1.
+        self.node, self.token = np.array([moves[m] for m in self.moves.tolist()], np.int32).T.copy()
 
     def propose(self, words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match of all words side by side: their token ids end to end, and their token counts.
@@ -93,12 +96,13 @@ class ByteBpe:
             token, after = np.full(len(live), -1, np.int32), start.copy()
             walk = np.arange(len(live))
             while len(walk):
-                byte = raw[pos[walk]]
-                hit = self.found[node[walk], byte]
-                got = hit >= 0
-                token[walk[got]] = hit[got]
+                move = node[walk].astype(np.int64) << 8 | raw[pos[walk]]
+                at_move = np.minimum(np.searchsorted(self.moves, move), len(self.moves) - 1)
+                known = self.moves[at_move] == move
+                got = known & (self.token[at_move] >= 0)
+                token[walk[got]] = self.token[at_move[got]]
                 after[walk[got]] = pos[walk[got]] + 1
-                node[walk] = self.step[node[walk], byte]
+                node[walk] = np.where(known, self.node[at_move], -1)
                 pos[walk] += 1
                 walk = walk[(node[walk] >= 0) & (pos[walk] < stop[walk])]
             who.append(live)

@@ -145,7 +145,6 @@ class Merges:
         return [t for t in ids if t >= 0]
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)

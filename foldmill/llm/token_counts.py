@@ -26,7 +26,7 @@ from .common import append_columns
 #: Entries of the broadcast table at most (about 64 bytes each).
 TABLE_WORDS = 65_536
 #: Counts in the younger half of a worker's cache; when it is full it becomes the older half.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 class Counter:
