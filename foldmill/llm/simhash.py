@@ -33,10 +33,10 @@ from pyspark.sql import types as T
 
 from .common import append_columns, fresh, materialize, release, without
 
-#: Variants that a bucket owns on average at most.
-BUCKET_VARIANTS = 1 << 23
-#: Fingerprints in one shuffled chunk.
-CHUNK = 1 << 15
+#: Variants that a bucket owns on average at most, and how many of them a task holds at once.
+BUCKET_VARIANTS, AT_ONCE = 1 << 23, 1 << 20
+#: Fingerprints that are sent at once at most, and (bucket, fingerprint) pairs.
+CHUNK, PAIRS = 1 << 15, 1 << 20
 LANES = np.uint64(0x0101010101010101)
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
@@ -126,41 +126,35 @@ def linear_hash(values: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def ball_masks(radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All XOR masks of at most ``radius`` bits in order of their hash, and where each hash starts."""
+    """All XOR masks of at most ``radius`` bits in order of their hash, and these hashes."""
     masks = np.array([sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(64), n)], np.uint64)
     h = linear_hash(masks, k)
     order = np.argsort(h, kind="stable")
-    return masks[order], np.searchsorted(h[order], np.arange((1 << k) + 1))
+    return masks[order], h[order]
 
 
 def bucket_links(fps: np.ndarray, bucket: int, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, smallest one of its local component) for all that a variant of this bucket links."""
-    fps = np.unique(fps)
-    masks, starts = ball_masks(radius // 2, k)
-    h = linear_hash(fps, k)
-    order = np.argsort(h, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0, True]) if len(h) else np.zeros(1, np.int64)
-    values, owners = [], []
-    for a, b in zip(cuts, cuts[1:]):
-        r = bucket ^ int(h[order[a]])
-        own = masks[starts[r] : starts[r + 1]]
-        if len(own):
-            idx = order[a:b]
-            values.append((fps[idx][:, None] ^ own[None, :]).ravel())
-            owners.append(np.repeat(idx.astype(np.int32), len(own)))
+    """(fingerprint, smallest one of its local component) for all that a variant of this bucket links;
+    ``fps`` is sorted and distinct."""
+    masks, hashes = ball_masks(radius // 2, k)
+    h = linear_hash(fps, k) ^ bucket
+    first = np.searchsorted(hashes, h)
+    owned = np.searchsorted(hashes, h, "right") - first
+    o = np.repeat(np.arange(len(fps)), owned)
+    place = np.arange(len(o)) - np.repeat(np.cumsum(owned) - owned, owned) + first[o]
+    v = fps[o] ^ masks[place]
     empty = np.zeros(0, np.uint64)
-    if not values:
+    if not len(v):
         return empty, empty
-    v, o = np.concatenate(values), np.concatenate(owners)
     ranked = np.sort(v)
     shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
     if not len(shared):
         return empty, empty
     place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
     met = shared[place] == v
-    key, who = place[met], o[met].astype(np.int64)
+    key, who = place[met], o[met]
     order = np.lexsort((who, key))
     key, who = key[order], who[order]
     begins = np.flatnonzero(np.r_[True, np.diff(key) != 0])
@@ -195,38 +189,31 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, col: str = "fp") -> Data
     k = max(0, int(np.ceil(np.log2(max(1, n * variants / BUCKET_VARIANTS)))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, starts = ball_masks(half, k)
-        owns = np.diff(starts) > 0
-        held: list[np.ndarray] = []
-
-        def send() -> pa.RecordBatch:
-            values = np.concatenate(held)
-            h = linear_hash(values, k)
-            buckets, blobs = [], []
-            for b in range(1 << k):
-                part = values[owns[h ^ b]]
-                if len(part):
-                    buckets.append(b)
-                    blobs.append(part.tobytes())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "fps"])
-
+        owned = np.unique(ball_masks(half, k)[1])
+        # So many fingerprints at once that what goes out in one piece stays small.
+        most = max(1, min(CHUNK, PAIRS // len(owned)))
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in range(0, len(values), CHUNK):
-                held.append(values[at : at + CHUNK])
-                if sum(map(len, held)) >= CHUNK:
-                    yield send()
-        if sum(map(len, held)):
-            yield send()
+            for at in range(0, len(values), most):
+                part = values[at : at + most]
+                buckets = (linear_hash(part, k)[:, None] ^ owned[None, :]).ravel()
+                order = np.argsort(buckets, kind="stable")
+                sent = part[order // len(owned)]
+                cuts = np.flatnonzero(np.r_[True, np.diff(buckets[order]) != 0])
+                blobs = [x.tobytes() for x in np.split(sent, cuts[1:])]
+                names = pa.array(buckets[order][cuts], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, pa.array(blobs, pa.binary())], names=["bucket", "fps"])
 
     def meet(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        fps = np.frombuffer(b"".join(group.column("fps").to_pylist()), np.uint64)
-        u, v = bucket_links(fps, bucket, radius, k)
+        fps = np.unique(np.frombuffer(b"".join(group.column("fps").to_pylist()), np.uint64))
+        # More bits of the same hash cut the bucket into parts that are met one after another.
+        more = max(0, int(np.ceil(np.log2(max(1, len(fps) * variants / (1 << k) / AT_ONCE)))))
+        parts = [bucket_links(fps, bucket | part << k, radius, k + more) for part in range(1 << more)]
+        u, v = (np.concatenate([x[side] for x in parts]) for side in (0, 1))
         return pa.table({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
 
-    sent = fps.select(F.col(col).alias("fp")).mapInArrow(emit, "bucket int, fps binary")
+    sent = fps.select(F.col(col).alias("fp")).mapInArrow(emit, "bucket bigint, fps binary")
     return sent.groupBy("bucket").applyInArrow(meet, "u long, v long")
 
 

@@ -212,6 +212,7 @@ def test_simhash_on_data(spark):
 def test_simhash_chains_in_many_buckets(spark, monkeypatch, tmp_path):
     """Near copies that link in chains, with buckets of very few variants."""
     monkeypatch.setattr(simhash, "BUCKET_VARIANTS", 1 << 14)
+    monkeypatch.setattr(simhash, "AT_ONCE", 1 << 12)
     rnd = random.Random(5)
     docs = []
     for g in range(12):
