@@ -220,8 +220,9 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, col: str = "fp") -> Data
 def components(links: DataFrame) -> DataFrame:
     """(u, root) for every node of ``links`` (u, v) but the roots; the root is the smallest signed value.
 
-    Large-star and small-star steps in turn, each a partial aggregate and a join; a step's links are
-    written to the shared folder, so no lineage grows and nothing is collected.
+    Large-star and small-star steps in turn, each a partial aggregate and a join; all tables are written
+    to the shared folder, so no lineage grows and nothing is collected.  The minima are written too: then
+    both sides of a join are read and shuffled for it alone, and a node with very many links is split.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     edges = materialize(links.where("u <> v").select(high, low).distinct(), "links")
@@ -232,12 +233,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "links")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        release(lowest)
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = materialize(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(lowest)
         release(large)
         release(edges)
         edges = step
@@ -249,7 +252,7 @@ def classes_of(rows: DataFrame, radius: int) -> DataFrame:
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(ball_links(nodes, nodes.count(), radius))
     members = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return members.join(ids, "root").select("fp", "root", "component_id")
 
 
