@@ -111,8 +111,9 @@ def anchors(templates: dict[str, str], contained: float = CONTAINED, limit: int
 
 def shingles_of(words: Column) -> Column:
     """Hashes of five words in a row, in order; of all words if they are fewer."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - WORDS + 1))
-    each = F.transform(places, lambda k: F.xxhash64(F.array_join(F.slice(words, k, WORDS), " ")))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - WORDS))
+    # Single elements: a slice inside a lambda would copy all words for each shingle.
+    each = F.transform(places, lambda k: F.xxhash64(F.concat_ws(" ", *[F.get(words, k + j) for j in range(WORDS)])))
     return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -153,7 +154,6 @@ def scan(
         bands = F.broadcast(bands)
     found = probes.join(bands, ["scale", "band", "value"])
     found = found.withColumn("matched", F.size(F.array_intersect("w", "t"))).where(F.col("matched") >= F.lit(contained) * F.size("t"))
-    best = F.max(F.struct("matched", -F.col("start"))).alias("x")
     found = found.groupBy("doc_id", "license", F.size("t").cast("bigint").alias("of")).agg(F.max(F.struct(F.col("matched"), (-F.col("start")).alias("back"))).alias("x"))
     return found.select("doc_id", "license", F.col("x.matched").cast("bigint").alias("matched"), "of", (-F.col("x.back")).cast("bigint").alias("first_shingle"))
 
