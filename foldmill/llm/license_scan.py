@@ -11,7 +11,7 @@ containment: the share of the template's shingles in the window.
 Before any hashing, texts and windows without a single anchor word are passed over.  Anchors are words
 chosen from the templates so that at least one is in every set of 0.8 of a template's shingles: what is
 passed over cannot hold a match, whatever the corpus.  All of it is DataFrame operations; the templates'
-bands are broadcast, their number being checked, or joined by a shuffle beyond that.
+bands are broadcast if their estimated size is small, or joined by a shuffle beyond that.
 
 Cases: words are the runs of letters and digits of the lower-cased text; null or blank texts have none; a
 template without words never matches; repeated rows and equal ids give one row for each pair of ids, with
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .decontamination import words_of
 
 WORDS, CONTAINED, BANDS = 5, 0.8, 64
-BROADCAST_ROWS = 1_000_000
+#: Estimated size of the templates' bands up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 ANCHORS = 24
 
 #: Public license notices, as text.
@@ -124,7 +125,7 @@ def bands_of(shingles: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """One row for each document and template it holds: ``doc_id``, ``license``, ``matched`` and ``of``
     (shingles), and ``first_shingle``, where the first best window starts."""
@@ -150,7 +151,7 @@ def scan(
     windows = out.select("doc_id", "scale", "start", F.array_distinct(F.slice("s", F.col("start") + 1, 2 * F.col("scale"))).alias("w"))
     probes = windows.select("doc_id", "scale", "start", "w", F.explode(bands_of(F.col("w"))).alias("x")).select("doc_id", "scale", "start", "w", "x.band", "x.value")
     bands = known.select("license", "scale", "t", F.explode(bands_of(F.col("t"))).alias("x")).select("license", "scale", "t", "x.band", "x.value")
-    if len(rows) * BANDS <= broadcast_rows:
+    if BANDS * sum(8 * len(shingles_of_template(x)) + 64 for x in templates.values()) <= broadcast_bytes:
         bands = F.broadcast(bands)
     found = probes.join(bands, ["scale", "band", "value"])
     found = found.withColumn("matched", F.size(F.array_intersect("w", "t"))).where(F.col("matched") >= F.lit(contained) * F.size("t"))

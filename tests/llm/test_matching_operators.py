@@ -152,7 +152,7 @@ def test_anchors_cover_every_template():
         assert sum(not set(s) & marks for s in shingles) < 0.8 * len(shingles)
 
 
-@pytest.mark.parametrize("limit", [license_scan.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [license_scan.BROADCAST_BYTES, 0])
 def test_license_edits(spark, limit):
     rnd = random.Random(3)
     docs, sure = [], set()
@@ -167,7 +167,7 @@ def test_license_edits(spark, limit):
         docs.append((k, " ".join(fill[:at] + words + fill[at:])))
         sure.add((k, name))
     docs += [(100, "plain prose about a license and a copyright"), (101, None), (102, "")]
-    found = license_scan.scan(spark.createDataFrame(docs, "doc_id int, text string"), broadcast_rows=limit).collect()
+    found = license_scan.scan(spark.createDataFrame(docs, "doc_id int, text string"), broadcast_bytes=limit).collect()
     pairs = {(r["doc_id"], r["license"]) for r in found}
     assert sure <= pairs and not {p for p in pairs if p[0] >= 100}
     assert all(r["matched"] >= 0.8 * r["of"] for r in found)
