@@ -12,6 +12,10 @@ fingerprint is sent once (8 bytes) to each bucket that owns one of its variants.
 follows the number of distinct fingerprints, so a bucket's variants always fit in a task.  Copies share a
 fingerprint and are grouped before anything is emitted.
 
+Fingerprints within few bits find copies that are almost the same.  ``deduplicated`` can also link all texts
+of some Jaccard similarity of their five-word shingles: min-hash bands propose pairs of shingle sets, the
+sets themselves decide.
+
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle has one shingle of all its words; repeated rows each stay, with the same class; a
 null doc_id is kept, and is a class's id only if no document of it has one; an empty table gives an
@@ -20,7 +24,7 @@ empty result; texts are read whole; other columns are ignored, whatever their na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -93,6 +97,95 @@ def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+# -------------------------------------------------------------------------------------- similar shingle sets
+
+#: Words of a shingle in sets; bands, and min-hashes in each: a pair of similarity 0.8 shares no band with a
+#: probability of (1 - 0.8 ** 5) ** 32, about three in a million.
+SET_WIDTH, BANDS, ROWS = 5, 32, 5
+
+
+def shingle_set(text: str | None, seed: int = 42) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, SET_WIDTH, seed), np.uint64))
+
+
+@lru_cache(maxsize=1)
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(5)
+    return draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1), draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One key for each band of each set (sets x BANDS); no set is empty."""
+    edges = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    x = np.concatenate(sets)
+    x = (x ^ x >> np.uint64(32)).astype(np.uint32)
+    low = np.empty((len(sets), BANDS * ROWS), np.uint32)
+    for k, (times, flip) in enumerate(zip(*permutations())):
+        y = (x ^ flip) * times
+        y ^= y >> np.uint32(15)
+        low[:, k] = np.minimum.reduceat(y * np.uint32(0x2C1B3C6D), edges)
+    rows = np.ascontiguousarray(low.reshape(len(sets), BANDS, ROWS))
+    keys = [[xxhash.xxh64_intdigest(rows[i, j].tobytes(), j) for j in range(BANDS)] for i in range(len(sets))]
+    return np.array(keys, np.uint64)
+
+
+def with_sets(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """``docs`` with ``set_id`` (a hash of the shingle set of ``text``; null if it is empty), ``set_size``
+    and ``band_keys``."""
+
+    def per_batch(texts):
+        sets = [shingle_set(t, seed) for t in texts]
+        full = [k for k, s in enumerate(sets) if len(s)]
+        ids, keys = [None] * len(sets), [None] * len(sets)
+        if full:
+            for k, row in zip(full, band_keys([sets[k] for k in full]).view(np.int64)):
+                ids[k], keys[k] = int(np.uint64(xxhash.xxh64_intdigest(sets[k].tobytes())).astype(np.int64)), row
+        return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+
+    added = [("set_id", T.LongType()), ("set_size", T.LongType()), ("band_keys", T.ArrayType(T.LongType()))]
+    return append_columns(docs, "text", added, per_batch)
+
+
+def similar_links(only: DataFrame, rows: DataFrame, roots: DataFrame, similar: float, seed: int) -> DataFrame:
+    """Links (u, v) of fingerprints in different classes whose texts have a Jaccard similarity of
+    ``similar`` or more.  ``only`` has text, h and k; ``rows`` has h, k, fp and the columns of ``with_sets``;
+    ``roots`` (fp, root) are the classes so far.  Pairs of one class are not compared."""
+    percent = round(100 * similar)
+    hash_of = F.min(F.struct("h", "k")).alias("x")
+    known = rows.where("set_id is not null").join(roots, "fp")
+    sets = known.groupBy("set_id").agg(F.min("root").alias("root"), F.max("set_size").alias("n"), F.first("band_keys").alias("band_keys"), hash_of)
+    sets = materialize(sets, "sets")
+    same = known.join(sets.select("set_id", F.col("root").alias("v")), "set_id").select(F.col("root").alias("u"), "v").where("u <> v").distinct()
+    keys = sets.select("set_id", "root", "n", F.explode("band_keys").alias("key"))
+    a, b = (keys.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "root", "n")]) for side in "ab")
+    # Sets of similarity s differ in size by the factor s at most.
+    pairs = a.join(b, "key").where(f"set_id_a < set_id_b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = materialize(pairs.select("set_id_a", "set_id_b", F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct(), "pairs")
+    need = pairs.select(F.col("set_id_a").alias("set_id")).union(pairs.select("set_id_b")).distinct()
+    need = sets.join(need, "set_id").select("set_id", "x.h", "x.k")
+    chosen = only.select("h", "k", "text").join(need, ["h", "k"]).select("set_id", "text")
+
+    def grams_of(texts):
+        return [pa.array([shingle_set(t, seed).tobytes() for t in texts], pa.binary())]
+
+    grams = append_columns(chosen, "text", [("grams", T.BinaryType())], grams_of).select("set_id", "grams").dropDuplicates(["set_id"])
+    grams = materialize(grams, "grams")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for one, two in zip(batch.column("grams_a"), batch.column("grams_b")):
+                one, two = (np.frombuffer(g.as_buffer(), np.uint64) for g in (one, two))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(100 * both >= percent * (len(one) + len(two) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    for side in "ab":
+        pairs = pairs.join(grams.select(F.col("set_id").alias(f"set_id_{side}"), F.col("grams").alias(f"grams_{side}")), f"set_id_{side}")
+    return pairs.select("u", "v", "grams_a", "grams_b").mapInArrow(verify, "u long, v long").unionByName(same)
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:
     """``docs`` with the 64-bit fingerprint of each whole text, as a signed long."""
 
@@ -247,10 +340,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select("u", F.col("v").alias("root"))
 
 
-def classes_of(rows: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint of ``rows`` (doc_id, fp); root names its class."""
+def classes_of(rows: DataFrame, radius: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``rows`` (doc_id, fp); root names its class.
+
+    ``more`` gives further links from the classes (fp, root) that the fingerprints alone make.
+    """
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(ball_links(nodes, nodes.count(), radius))
+    if more:
+        roots = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        linked = components(linked.withColumnRenamed("root", "v").unionByName(more(roots)))
     members = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return members.join(ids, "root").select("fp", "root", "component_id")
@@ -264,18 +363,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes_of(rows, radius), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, similar: float | None = None) -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest id (nulls last).
 
-    Rows that agree in id and text count as one document.
+    Rows that agree in id and text count as one document.  With ``similar``, texts whose sets of five-word
+    shingles have at least this Jaccard similarity are linked too, whatever their fingerprints.
     """
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     keys = fresh(docs.columns, "_row_hash"), fresh(docs.columns, "_row_id")
     key = F.xxhash64(ident.isNull(), ident, text.isNull(), text), F.coalesce(F.xxhash64(ident), F.lit(0))
     only = docs.select(ident.alias("doc_id"), text.alias("text"), key[0].alias("h"), key[1].alias("k"))
-    rows = materialize(with_fingerprint(only, "text", width, seed).select("doc_id", "h", "k", "fp"), "fingerprints")
+    marked, columns = with_fingerprint(only, "text", width, seed), ["doc_id", "h", "k", "fp"]
+    if similar is not None:
+        marked, columns = with_sets(marked, seed), [*columns, "set_id", "set_size", "band_keys"]
+    rows = materialize(marked.select(*columns), "fingerprints")
+    more = None if similar is None else lambda roots: similar_links(only, rows, roots, similar, seed)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "k")
-    first = rows.join(classes_of(rows, radius), "fp").groupBy("root").agg(F.min(order).alias("x"))
+    first = rows.join(classes_of(rows, radius, more), "fp").groupBy("root").agg(F.min(order).alias("x"))
     first = first.select(F.col("x.h").alias(keys[0]), F.col("x.k").alias(keys[1]))
     kept = docs.withColumns(dict(zip(keys, key))).join(first, list(keys), "left_semi")
     return without(kept.dropDuplicates(list(keys)), keys).select(*[F.col(f"`{c}`") for c in docs.columns])

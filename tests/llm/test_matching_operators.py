@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from foldmill.llm import decontamination as dc
 from foldmill.llm import license_scan, queries, sharding, simhash, url_filter
 
@@ -229,6 +231,43 @@ def test_simhash_chains_in_many_buckets(spark, monkeypatch, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in found})
 
 
+def similar_classes(docs, similar=0.8):
+    """id -> smallest id of its class: near fingerprints, or five-word shingle sets of this similarity."""
+    classes = components({k: fingerprint(t) for k, t in docs})
+    sets = {}
+    for k, t in docs:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if classes[a] != classes[b] and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= round(10 * similar) * len(sets[a] | sets[b]):
+            low, high = sorted((classes[a], classes[b]))
+            classes = {k: low if c == high else c for k, c in classes.items()}
+    return classes
+
+
+def test_pipeline_stage_drops_similar_texts(spark):
+    """Near copies of similarity 0.8 and more whose fingerprints differ in more than four bits."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    classes = similar_classes(texts)
+    assert len(set(classes.values())) < len(set(components({k: fingerprint(t) for k, t in texts}).values()))
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, path).collect()]
+    assert sorted(kept) == sorted(set(classes.values()))
+
+
+def test_similar_texts_on_both_sides_of_the_bound(spark):
+    """Shingle sets of 60 with 52 to 55 in common; two links in a chain; copies and texts without words."""
+    base = [f"w{k}" for k in range(64)]
+    docs = [(0, " ".join(base))]
+    docs += [(n, " ".join(base[: n + 4] + [f"x{n}_{k}" for k in range(60 - n)])) for n in (52, 53, 54, 55)]
+    docs += [(100, " ".join(base).upper()), (101, None), (102, ""), (103, "a b"), (104, "A  B"), (105, "a c")]
+    classes = similar_classes(docs)
+    kept = simhash.deduplicated(spark.createDataFrame(docs, "doc_id int, text string"), similar=0.8).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(classes.values()))
+    assert classes[54] == 0 and classes[104] == 103 and classes[105] == 105
+
+
 def test_components_of_long_chains(spark):
     links = [(k, k - 1) for k in range(1, 200)] + [(1000 + k, 1000) for k in range(1, 300)] + [(-5, 7), (3, 3)]
     found = simhash.components(spark.createDataFrame(links, "u bigint, v bigint"))
