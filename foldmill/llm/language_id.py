@@ -3,7 +3,9 @@
 A text becomes a TF-IDF vector of hashed letter bigrams and trigrams, normalised to length one.  Each
 language has several centroids, found by spherical k-means over a bounded sample of labelled documents;
 a text gets the language of the centroid with the largest cosine, and is rejected if even that one is
-further away than ``REJECT``.  The model is a few hundred kB, whatever the corpus; predicting shuffles
+too far away.  How far depends on the text's length: letter noise comes nearer by slot collisions as it gets
+longer, and so do the learned languages.  Sample texts are compared with centroids of the other half of the
+sample, and a text's cosine must reach ``MARGIN`` of a low quantile of theirs at its length.  The model is a few hundred kB, whatever the corpus; predicting shuffles
 nothing.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without any labelled
@@ -31,8 +33,13 @@ CENTROIDS = 4
 PER_LANGUAGE = 500
 #: Languages at most; the most frequent are learned.
 LANGUAGES = 256
-#: Cosine below which a text is too far from every language.
+#: Cosine below which a text of any length is too far from every language.
 REJECT = 0.05
+#: Quantile of the sample's cosines at a length, the share of it that a text must reach, and how many sample
+#: texts (of this length class, else of shorter ones too) are needed; with fewer, ``REJECT`` holds alone.
+QUANTILE, MARGIN, LEAST = 0.001, 0.7, 20
+#: Length classes: powers of two of the number of grams.
+LENGTHS = 40
 CHUNK = 128
 #: Characters whose grams are counted at once.
 PIECE = 1 << 18
@@ -111,12 +118,14 @@ class Centroids:
     idf: np.ndarray
     owner: np.ndarray  # language of each centroid
     centres: np.ndarray  # centroids x SLOTS, unit length
+    floors: np.ndarray  # least cosine of a text that is not rejected, by length class
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         return unit(np.sqrt(tf) * self.idf)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, best = [], np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, its cosine and the cosine that it needs."""
+        names, best, needed = [], np.zeros(len(texts)), np.zeros(len(texts))
         for at in range(0, len(texts), CHUNK):
             tf, some = counts(texts[at : at + CHUNK])
             if not self.languages:
@@ -125,15 +134,39 @@ class Centroids:
             cosine = np.clip(self.vectors(tf) @ self.centres.T, 0, 1)
             k = cosine.argmax(1)
             best[at : at + CHUNK] = np.where(some, cosine[np.arange(len(k)), k], 0)
+            needed[at : at + CHUNK] = self.floors[length_classes(tf)]
             names += [self.languages[self.owner[j]] if s else "und" for j, s in zip(k, some)]
-        return names, best
+        return names, best, needed
+
+
+def length_classes(tf: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(tf.sum(1), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def calibrated(model: Centroids, tf: np.ndarray, langs: list[str]) -> Centroids:
+    """``model`` with floors by length class, from cosines with centroids of the other half of the sample."""
+    half = np.arange(len(tf)) % 2 == 0
+    best = np.zeros(len(tf))
+    for own in (half, ~half):
+        other = fit(tf[~own], [lang for lang, mine in zip(langs, own) if not mine])
+        if not other.languages:
+            return model
+        best[own] = (other.vectors(tf[own]) @ other.centres.T).max(1)
+    classes = length_classes(tf)
+    for c in range(LENGTHS):
+        for low in range(c, -1, -1):
+            near = best[(classes >= low) & (classes <= c)]
+            if len(near) >= LEAST:
+                model.floors[c] = MARGIN * np.quantile(near, QUANTILE, method="lower")
+                break
+    return model
 
 
 def fit(tf: np.ndarray, langs: list[str]) -> Centroids:
     """k-means of each language's vectors; starts are spread by the farthest-point rule."""
     languages = sorted(set(langs))
     if not languages:
-        return Centroids([], np.ones(SLOTS, np.float32), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.float32))
+        return Centroids([], np.ones(SLOTS, np.float32), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.float32), np.zeros(LENGTHS))
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     x = unit(np.sqrt(tf) * idf)
     owner, centres = [], []
@@ -148,7 +181,7 @@ def fit(tf: np.ndarray, langs: list[str]) -> Centroids:
             found = unit(np.stack([own[near == j].mean(0) if (near == j).any() else found[j] for j in range(len(found))]))
         owner += [k] * len(found)
         centres.append(found)
-    return Centroids(languages, idf, np.array(owner), np.concatenate(centres).astype(np.float32))
+    return Centroids(languages, idf, np.array(owner), np.concatenate(centres).astype(np.float32), np.zeros(LENGTHS))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -185,7 +218,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Centroids:
         flat = np.frombuffer(r["grams"], "<f4")
         tf[k, flat[: len(flat) // 2].astype(int)] = flat[len(flat) // 2 :]
     some = tf.sum(1) > 0
-    return fit(tf[some], [r["lang"] for r, s in zip(found, some) if s])
+    tf, langs = tf[some], [r["lang"] for r, s in zip(found, some) if s]
+    return calibrated(fit(tf, langs), tf, langs)
 
 
 NAMES = ("lang_pred", "lang_score", "lang_rejected")
@@ -195,8 +229,8 @@ def with_language(docs: DataFrame, model: Centroids, text_col: str = "text", rej
     """``docs`` with the predicted language, its cosine (0 to 1) and whether the text is rejected."""
 
     def per_batch(texts):
-        langs, best = model.predict(texts)
-        refused = [n == "und" or s < reject for n, s in zip(langs, best)]
+        langs, best, needed = model.predict(texts)
+        refused = [n == "und" or s < max(reject, least) for n, s, least in zip(langs, best, needed)]
         return [pa.array(langs, pa.string()), pa.array(best, pa.float64()), pa.array(refused, pa.bool_())]
 
     return append_columns(docs, text_col, list(zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))), per_batch)

@@ -163,6 +163,25 @@ def test_language_odd_texts(spark, tmp_path):
     assert out[12]["lang_pred"] == "fr" and out[1]["lang_pred"] == "en"
 
 
+def test_unlearned_scripts_and_noise_are_rejected(spark):
+    """Letter noise of 20 to 500 words and unlearned languages go; the sample's own languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rnd = random.Random(7)
+    scripts = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x5500))), "".join(map(chr, range(0x627, 0x63B)))]
+    noise = [" ".join("".join(rnd.choices(s, k=rnd.randint(2, 9))) for _ in range(n)) for s in scripts for n in (20, 50, 100, 250, 500) for _ in range(4)]
+    prose = (
+        "Однажды весною, в час небывало жаркого заката, в Москве, на Патриарших прудах, появились два гражданина. Первый из них был одет в летнюю серенькую пару, "
+        "был маленького роста, упитан, лыс, свою приличную шляпу пирожком нёс в руке, а на хорошо выбритом лице его помещались сверхъестественных размеров очки.",
+        "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie.",
+    )
+    model = language_id.train(docs)
+    texts = [(k, t) for k, t in enumerate([*noise, *prose])]
+    out = language_id.with_language(spark.createDataFrame(texts, "doc_id int, text string"), model).collect()
+    assert [r["doc_id"] for r in out if not r["lang_rejected"]] == []
+    lettered = [r for r in language_id.with_language(docs, model).select("text", "lang_rejected").collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sum(r["lang_rejected"] for r in lettered) <= 0.002 * len(lettered)
+
+
 def test_cut_texts_count_the_same_grams(monkeypatch):
     text = " ".join(["Straße und 12 Häuser,", "où l'été"] * 40)
     whole, _ = language_id.counts([text, None, "ab"])
