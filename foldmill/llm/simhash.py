@@ -130,9 +130,9 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.array(keys, np.uint64)
 
 
-def with_sets(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """``docs`` with ``set_id`` (a hash of the shingle set of ``text``; null if it is empty), ``set_size``
-    and ``band_keys``."""
+def with_sets(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` with ``fp``, ``set_id`` (a hash of the shingle set of ``text``; null if it is empty),
+    ``set_size`` and ``band_keys``; all in one pass, as each pass has Python workers of its own."""
 
     def per_batch(texts):
         sets = [shingle_set(t, seed) for t in texts]
@@ -141,9 +141,10 @@ def with_sets(docs: DataFrame, seed: int = 42) -> DataFrame:
         if full:
             for k, row in zip(full, band_keys([sets[k] for k in full]).view(np.int64)):
                 ids[k], keys[k] = int(np.uint64(xxhash.xxh64_intdigest(sets[k].tobytes())).astype(np.int64)), row
-        return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        fps = pa.array(fingerprint_batch(texts, width, seed).view(np.int64), pa.int64())
+        return [fps, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
 
-    added = [("set_id", T.LongType()), ("set_size", T.LongType()), ("band_keys", T.ArrayType(T.LongType()))]
+    added = [("fp", T.LongType()), ("set_id", T.LongType()), ("set_size", T.LongType()), ("band_keys", T.ArrayType(T.LongType()))]
     return append_columns(docs, "text", added, per_batch)
 
 
@@ -167,23 +168,16 @@ def similar_links(only: DataFrame, rows: DataFrame, roots: DataFrame, similar: f
     chosen = only.select("h", "k", "text").join(need, ["h", "k"]).select("set_id", "text")
 
     def grams_of(texts):
-        return [pa.array([shingle_set(t, seed).tobytes() for t in texts], pa.binary())]
+        return [pa.array([shingle_set(t, seed).view(np.int64) for t in texts], pa.list_(pa.int64()))]
 
-    grams = append_columns(chosen, "text", [("grams", T.BinaryType())], grams_of).select("set_id", "grams").dropDuplicates(["set_id"])
+    grams = append_columns(chosen, "text", [("grams", T.ArrayType(T.LongType()))], grams_of).select("set_id", "grams").dropDuplicates(["set_id"])
     grams = materialize(grams, "grams")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for one, two in zip(batch.column("grams_a"), batch.column("grams_b")):
-                one, two = (np.frombuffer(g.as_buffer(), np.uint64) for g in (one, two))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
     for side in "ab":
         pairs = pairs.join(grams.select(F.col("set_id").alias(f"set_id_{side}"), F.col("grams").alias(f"grams_{side}")), f"set_id_{side}")
-    return pairs.select("u", "v", "grams_a", "grams_b").mapInArrow(verify, "u long, v long").unionByName(same)
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
+    similar_enough = f"100 * both >= {percent} * (size(grams_a) + size(grams_b) - both)"
+    return pairs.where(similar_enough).select("u", "v").unionByName(same)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:
@@ -373,10 +367,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = fresh(docs.columns, "_row_hash"), fresh(docs.columns, "_row_id")
     key = F.xxhash64(ident.isNull(), ident, text.isNull(), text), F.coalesce(F.xxhash64(ident), F.lit(0))
     only = docs.select(ident.alias("doc_id"), text.alias("text"), key[0].alias("h"), key[1].alias("k"))
-    marked, columns = with_fingerprint(only, "text", width, seed), ["doc_id", "h", "k", "fp"]
-    if similar is not None:
-        marked, columns = with_sets(marked, seed), [*columns, "set_id", "set_size", "band_keys"]
-    rows = materialize(marked.select(*columns), "fingerprints")
+    marked = with_fingerprint(only, "text", width, seed) if similar is None else with_sets(only, width, seed)
+    rows = materialize(marked.drop("text"), "fingerprints")
     more = None if similar is None else lambda roots: similar_links(only, rows, roots, similar, seed)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "k")
     first = rows.join(classes_of(rows, radius, more), "fp").groupBy("root").agg(F.min(order).alias("x"))
