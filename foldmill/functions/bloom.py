@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Error rate, most bits, most hashes, and the size for an unusable request.
@@ -30,9 +30,15 @@ def half(key: Column, start: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), start, 12), 16, 10).cast("bigint")
 
 
-def positions(key: str, m: str, k: str) -> Column:
-    """The k positions (h1 + i h2) mod m."""
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1), lambda i: (half(F.col(key), 1) + i * half(F.col(key), 13)) % F.col(m))
+def hashed(keys: DataFrame) -> DataFrame:
+    """``keys`` with both halves of the key's hash, taken once a key."""
+    return keys.withColumns({"h1": half(F.col("key"), 1), "h2": half(F.col("key"), 13)})
+
+
+#: The k positions (h1 + i h2) mod m, from columns h1, h2, m and k.
+POSITIONS = "transform(sequence(0L, k - 1), i -> (h1 + i * h2) % m)"
+#: Bytes of filters up to which they are broadcast to the probes.
+BROADCAST_BYTES = 64 << 20
 
 
 def build(keys: DataFrame, by: str, rate: float = RATE) -> DataFrame:
@@ -42,14 +48,39 @@ def build(keys: DataFrame, by: str, rate: float = RATE) -> DataFrame:
     """
     sizes = keys.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("m", bits(F.col("n"), rate)).withColumn("k", hashes(F.col("n"), F.col("m"), rate))
-    at = keys.join(sizes, by).select(by, "m", "k", F.explode(positions("key", "m", "k")).alias("p"))
+    at = hashed(keys.select(by, "key")).join(sizes, by).select(by, "m", "k", F.explode(F.expr(POSITIONS)).alias("p"))
     return at.groupBy(by, "m", "k", F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
 
 
-def probe(candidates: DataFrame, filters: DataFrame, by: str) -> DataFrame:
-    """(by, key) of ``candidates`` for which all positions are set: no false negative."""
-    sizes = filters.select(by, "m", "k").distinct()
-    asked = candidates.join(sizes, by).select(by, "key", "k", F.explode(positions("key", "m", "k")).alias("p"))
-    asked = asked.withColumns({"word": F.expr("p div 64"), "bit": F.expr("shiftleft(1L, cast(p % 64 as int))")})
-    found = asked.join(filters.select(by, "word", "bits"), [by, "word"]).where("(bits & bit) <> 0")
+def packed(filters: DataFrame, by: str) -> DataFrame:
+    """(by, m, k, words): each filter as one array of 64-bit words, zero words included; 1 MB at most (2**23 bits)."""
+    every = filters.select(by, "m", "k").distinct().select(by, "m", "k", F.explode(F.expr("sequence(0L, (m - 1) div 64)")).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    full = filters.select(by, "m", "k", "word", "bits").unionByName(every).groupBy(by, "m", "k", "word").agg(F.bit_or("bits").alias("bits"))
+    return full.groupBy(by, "m", "k").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("x")).select(by, "m", "k", F.col("x.bits").alias("words"))
+
+
+def save(filters: DataFrame, path: str) -> None:
+    """Write packed filters; they can be loaded whole, or the one of a group alone by a pushed filter."""
+    filters.write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def probe(candidates: DataFrame, filters: DataFrame, by: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(by, key) of ``candidates`` for which all positions are set in ``filters`` (packed): no false negative.
+
+    Filters of up to ``limit`` bytes by their sizes are broadcast.  Larger ones are taken apart into words
+    and joined on (by, word), so that no filter is copied for each candidate.
+    """
+    total = filters.agg(F.coalesce(F.sum((F.col("m") + 63) / 8 + 64), F.lit(0))).first()[0]
+    asked = hashed(candidates.select(by, "key"))
+    if total <= limit:
+        set_at = F.expr("forall(sequence(0L, k - 1), i -> getbit(words[cast((h1 + i * h2) % m div 64 as int)], cast((h1 + i * h2) % m % 64 as int)) = 1)")
+        return asked.join(F.broadcast(filters), by).where(set_at).select(by, "key")
+    words = filters.select(by, F.posexplode("words").alias("word", "bits"))
+    asked = asked.join(filters.select(by, "m", "k"), by).select(by, "key", "k", F.explode(F.expr(POSITIONS)).alias("p"))
+    asked = asked.withColumns({"word": F.expr("cast(p div 64 as int)"), "at": F.expr("cast(p % 64 as int)")})
+    found = asked.join(words, [by, "word"]).where("getbit(bits, at) = 1")
     return found.groupBy(by, "key", "k").agg(F.count(F.lit(1)).alias("hit")).where("hit = k").select(by, "key")

@@ -6,6 +6,9 @@ key.  Reads take the newest version of each key over all runs and then drop tomb
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +48,49 @@ def runs_by_bytes(writes: DataFrame, budget: int = BASE_BYTES, block: int = 4096
     return inner.join(before, "block").select(*writes.columns, F.expr(f"(before + inner) div {budget}").alias("run_seq"))
 
 
-def write_sorted(rows: DataFrame, path: str, files: int = 8, bloom_keys: int = 200_000) -> None:
-    """Write rows in ranges of key, sorted, with Parquet statistics and a Bloom filter on the key."""
+def rotate(writes: DataFrame, budget: int = BASE_BYTES, tablets: int = 1) -> DataFrame:
+    """``writes`` (seq, op, key, value) with ``tablet`` and ``run_seq``, as a table in memory fills and is frozen.
+
+    A table counts the bytes of its keys and newest values; an overwrite counts by the difference, a deletion as a
+    key without a value.  It is frozen before a write that would take it over ``budget`` (a deletion: once it
+    is full).  Where one run ends decides where the next one does, so this is one pass in order of ``seq`` that
+    holds one table, at most ``budget`` bytes.  ``tablets`` parts of the key space have tables of their own
+    and are passed over side by side.
+    """
+    tablet = F.pmod(F.xxhash64("key"), F.lit(tablets)).cast("int")
+    rows = writes.select("seq", "op", "key", "value", tablet.alias("tablet")).repartitionById(tablets, "tablet").sortWithinPartitions("tablet", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, total, sizes = None, 0, 0, {}
+        for batch in batches:
+            out = []
+            ops, keys, values, parts = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
+            for op, key, value, part in zip(ops, keys, values, parts):
+                if part != now:
+                    now, number, total, sizes = part, 0, 0, {}
+                size = len(key.encode()) + (len(value.encode()) if value and op != "DEL" else 0)
+                if sizes and (total >= budget if op == "DEL" else total + size > budget):
+                    number, total, sizes = number + 1, 0, {}
+                total += size - sizes.get(key, 0)
+                sizes[key] = size
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "run_seq"])
+
+    return rows.mapInArrow(run, "seq bigint, op string, key string, value string, tablet int, run_seq bigint")
+
+
+#: Bytes that a written file holds, about.
+FILE_BYTES = 128 << 20
+
+
+def write_sorted(rows: DataFrame, path: str, files: int | None = None, bloom_keys: int = 200_000) -> None:
+    """Write rows in ranges of key, sorted, with Parquet statistics and a Bloom filter on the key.
+
+    By default there are as many files as the rows' bytes ask for.
+    """
+    if files is None:
+        size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16
+        files = max(1, -(-(rows.agg(F.sum(size)).first()[0] or 0) // FILE_BYTES))
     ranged = rows.repartitionByRange(files, "key").sortWithinPartitions("key")
     ranged.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(bloom_keys)).parquet(path)
 
@@ -82,28 +126,60 @@ def layered_get(probes: DataFrame, layers: list[DataFrame]) -> DataFrame:
     return hit.select("key", F.coalesce(F.when(alive, F.col("x.value")), F.lit("NULL")).alias("value"), F.coalesce(F.when(alive, F.col("x.layer")), F.lit(-1)).cast("bigint").alias("layer"))
 
 
-def first_code(key: Column) -> Column:
-    return F.coalesce(F.ascii(key), F.lit(0))
+#: Slots into which keys are cut to find the runs that may hold them, and bounds that are looked at to cut them.
+SLOTS, BOUNDS = 256, 4096
+#: Estimated size of a catalog, listed by slot, up to which it is broadcast.
+CATALOG_BYTES = 64 << 20
+
+
+def slot_of(key: Column, cuts: list[str]) -> Column:
+    """The number of ``cuts`` (sorted) that are not after the key: 16 comparisons, then 16 more."""
+    step = max(1, int(len(cuts) ** 0.5))
+    tops = F.array(*[F.lit(c) for c in cuts[step - 1 :: step]]) if cuts else F.array().cast("array<string>")
+    every = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
+    before = F.size(F.filter(tops, lambda c: c <= key)) * step
+    return before + F.size(F.filter(F.slice(every, before + 1, F.lit(step)), lambda c: c <= key))
 
 
-def candidates(probes: DataFrame, catalog: DataFrame) -> DataFrame:
+def cuts_of(catalog: DataFrame, slots: int = SLOTS, bounds: int = BOUNDS) -> list[str]:
+    """Keys that cut the runs' bounds into about equal parts, from ``bounds`` bounds at most (by hash).
+
+    Any cuts give the same candidates; even ones make their search cheap.
+    """
+    both = catalog.select(F.explode(F.array("min_key", "max_key")).alias("c")).where("c is not null").distinct()
+    some = sorted((r["c"] for r in both.orderBy(F.xxhash64("c"), "c").limit(bounds).collect()), key=str.encode)
+    return [some[k * len(some) // slots] for k in range(1, slots)] if len(some) >= slots else some
+
+
+def listed(catalog: DataFrame, cuts: list[str], columns: list[str]) -> DataFrame:
+    """``catalog`` once for each slot that a run's range spans, with ``slot`` and ``first_slot``."""
+    low, high = slot_of(F.col("min_key"), cuts), slot_of(F.col("max_key"), cuts)
+    return catalog.withColumn("first_slot", low).select(*columns, "first_slot", F.explode(F.sequence("first_slot", high)).alias("slot"))
+
+
+def candidates(probes: DataFrame, catalog: DataFrame, limit: int = CATALOG_BYTES) -> DataFrame:
     """(key, level, run_seq): runs whose key range holds the probe.
 
-    A range join as an equality join: a run is listed under each first character that its range spans,
-    folded to at most 256 lists, and the range is tested within a list.
+    A range join as an equality join: the key space is cut at bounds of the runs themselves, a run is listed
+    under each slot it spans, and the range is tested within a slot - so what meets is what matches, but for
+    the two slots at a run's ends.  A catalog (one row a run) of up to ``limit`` bytes is broadcast.
     """
-    low, high = first_code(F.col("min_key")), first_code(F.col("max_key"))
-    spans = F.transform(F.sequence(low, F.least(high, low + 255)), lambda c: c % 256)
-    listed = catalog.select("level", "run_seq", "min_key", "max_key", F.explode(F.array_distinct(spans)).alias("slot"))
-    asked = probes.select("key", (first_code(F.col("key")) % 256).alias("slot"))
-    return asked.join(listed, "slot").where("key between min_key and max_key").select("key", "level", "run_seq")
+    cuts = cuts_of(catalog)
+    spans = listed(catalog, cuts, ["level", "run_seq", "min_key", "max_key"])
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("min_key") + F.octet_length("max_key") + 64), F.lit(0))).first()[0]
+    asked = probes.select("key", slot_of(F.col("key"), cuts).alias("slot"))
+    return asked.join(F.broadcast(spans) if size <= limit else spans, "slot").where("key between min_key and max_key").select("key", "level", "run_seq")
 
 
 def overlapping(catalog: DataFrame) -> DataFrame:
-    """(run_a, run_b): pairs of runs, a before b, whose key ranges meet; for planning, on the catalog only."""
-    a = catalog.select(F.col("run_seq").alias("run_a"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"))
-    b = catalog.select(F.col("run_seq").alias("run_b"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"))
-    return a.join(b, (F.col("run_a") < F.col("run_b")) & (F.col("a_min") <= F.col("b_max")) & (F.col("b_min") <= F.col("a_max"))).select("run_a", "run_b")
+    """(run_a, run_b): pairs of runs, a before b, whose key ranges meet; for planning, on the catalog only.
+
+    Two runs meet in the first slot that both span, so each pair comes up once.
+    """
+    spans = listed(catalog, cuts_of(catalog), ["run_seq", "min_key", "max_key"])
+    a, b = (spans.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("run_seq", "min_key", "max_key", "first_slot")]) for side in "ab")
+    met = a.join(b, "slot").where("run_seq_a < run_seq_b and slot = greatest(first_slot_a, first_slot_b) and min_key_a <= max_key_b and min_key_b <= max_key_a")
+    return met.select(F.col("run_seq_a").alias("run_a"), F.col("run_seq_b").alias("run_b"))
 
 
 def budgets(spark: SparkSession) -> DataFrame:
@@ -129,6 +205,21 @@ def pick_l0(catalog: DataFrame) -> DataFrame:
     return zero.withColumn("n_l1", met.scalar())
 
 
+def candidate(catalog: DataFrame) -> DataFrame:
+    """(level, run_seq): the inputs of the next compaction; empty if none is due.
+
+    Level 0 goes whole, as its runs overlap; of a deeper level over budget, its oldest run.  With them go the
+    runs of the next level whose keys meet theirs, and no others.
+    """
+    due = pick(catalog).select(F.col("level").cast("int").alias("due"))
+    own = catalog.join(F.broadcast(due), F.col("level") == F.col("due"))
+    oldest = own.agg(F.min("run_seq").alias("oldest"))
+    own = own.crossJoin(F.broadcast(oldest)).where("level = 0 or run_seq = oldest")  # one row on the right
+    bounds = own.groupBy("level").agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"))
+    met = catalog.join(F.broadcast(bounds.withColumnRenamed("level", "due")), F.col("level") == F.col("due") + 1).where("min_key <= high and low <= max_key")
+    return own.select("level", "run_seq").unionByName(met.select("level", "run_seq"))
+
+
 def compact(runs: DataFrame, level: int, target_run: int, bottom: bool = False) -> DataFrame:
     """One run of the next level (the deepest level stays): the newest version of each key.
 

@@ -76,17 +76,60 @@ def test_zone_map_candidates(spark, seed):
     catalog = [(0, k, *sorted([word(), word()], key=str.encode)) for k in range(40)]
     probes = sorted({word() for _ in range(100)})
     frame_ = spark.createDataFrame(catalog, "level int, run_seq long, min_key string, max_key string")
-    found = runs.candidates(spark.createDataFrame([(p,) for p in probes], "key string"), frame_)
     expect = {(p, r) for p in probes for _, r, lo, hi in catalog if lo.encode() <= p.encode() <= hi.encode()}
-    assert sorted((r["key"], r["run_seq"]) for r in found.collect()) == sorted(expect)
-
-
-def test_bloom(spark):
+    for limit in (runs.CATALOG_BYTES, 0):
+        found = runs.candidates(spark.createDataFrame([(p,) for p in probes], "key string"), frame_, limit)
+        assert sorted((r["key"], r["run_seq"]) for r in found.collect()) == sorted(expect)
+    pairs = {(a[1], b[1]) for a in catalog for b in catalog if a[1] < b[1] and a[2].encode() <= b[3].encode() and b[2].encode() <= a[3].encode()}
+    plan = runs.overlapping(frame_)
+    assert sorted(map(tuple, plan.collect())) == sorted(pairs)
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString()
+
+
+def test_keys_with_one_first_character_spread_over_slots(spark):
+    """Runs of disjoint ranges whose keys all start alike: a probe meets few runs, not all."""
+    catalog = spark.range(1000).selectExpr("1 as level", "id as run_seq", "printf('u%06d', id * 10) as min_key", "printf('u%06d', id * 10 + 9) as max_key")
+    cuts = runs.cuts_of(catalog)
+    assert len(cuts) == runs.SLOTS - 1
+    most = runs.listed(catalog, cuts, ["run_seq"]).groupBy("slot").count().agg(F.max("count")).first()[0]
+    assert most <= 16
+    found = runs.candidates(spark.range(10_000).selectExpr("printf('u%06d', id) as key"), catalog)
+    assert found.count() == 10_000 and found.where("cast(substring(key, 2) as int) div 10 <> run_seq").count() == 0
+
+
+def test_rotation_counts_what_a_table_holds(spark):
+    """Runs as a table of at most 60 bytes makes them; overwrites count by the difference; tablets are apart."""
+    rnd = random.Random(5)
+    commands = [(rnd.choice(["SET", "SET", "DEL"]), f"k{rnd.randrange(12)}", "v" * rnd.randrange(9)) for _ in range(400)]
+    writes = spark.createDataFrame([(k, op, key, None if op == "DEL" else v) for k, (op, key, v) in enumerate(commands)], "seq bigint, op string, key string, value string")
+    found = [r["run_seq"] for r in runs.rotate(writes, 60).orderBy("seq").collect()]
+    held, number, expect = {}, 0, []
+    for op, key, v in commands:
+        size = len(key) + (0 if op == "DEL" else len(v))
+        total = sum(held.values())
+        if held and (total >= 60 if op == "DEL" else total + size > 60):
+            held, number = {}, number + 1
+        held[key] = size
+        expect.append(number)
+    assert found == expect and number > 10
+    parts = runs.rotate(writes, 60, tablets=3)
+    for t in range(3):
+        own = parts.where(F.col("tablet") == t)
+        alone = runs.rotate(own.select("seq", "op", "key", "value"), 60)
+        assert [tuple(r) for r in own.select("seq", "run_seq").orderBy("seq").collect()] == [tuple(r) for r in alone.select("seq", "run_seq").orderBy("seq").collect()]
+
+
+def test_bloom(spark, tmp_path):
     keys = spark.range(3000).select((F.col("id") % 3).alias("run_seq"), F.concat(F.lit("k"), "id").alias("key"))
-    words = bloom.build(keys, "run_seq")
-    assert bloom.probe(keys, words, "run_seq").count() == 3000  # no false negative
+    bloom.save(bloom.packed(bloom.build(keys, "run_seq"), "run_seq"), str(tmp_path / "filters"))
+    filters = bloom.load(spark, str(tmp_path / "filters"))
+    assert filters.count() == 3
     others = spark.range(3000).select((F.col("id") % 3).alias("run_seq"), F.concat(F.lit("x"), "id").alias("key"))
-    assert bloom.probe(others, words, "run_seq").count() < 0.03 * 3000
+    passed = []
+    for limit in (bloom.BROADCAST_BYTES, 0):
+        assert bloom.probe(keys, filters, "run_seq", limit).count() == 3000  # no false negative
+        passed.append(sorted(map(tuple, bloom.probe(others, filters, "run_seq", limit).collect())))
+    assert passed[0] == passed[1] and len(passed[0]) < 0.03 * 3000
     size = spark.createDataFrame([(0,), (1000,), (10**9,)], "n long").select(bloom.bits(F.col("n")), bloom.hashes(F.col("n"), bloom.bits(F.col("n"))))
     assert [tuple(r) for r in size.collect()] == [(1024, 3), (9585, 6), (1 << 23, 1)]
 
