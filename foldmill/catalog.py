@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import bloom, text
 from .operators import runs, store
+from .operators.table import KeyedTable
 from .plans import fold
 from .plans.cmdlog import EFF_SQL, LOG_SQL, STATE_SQL, cmdlog
 from .sources import resp, shared, textlog, wal
-from .streaming.state import run_available
+from .streaming.state import fold_into_table, run_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,21 @@ def all_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.flush(fold.effective_writes(cmdlog(spark, d)))
 
 
+def stored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs, written once and read back."""
+    path = shared.folder(spark, "runs")
+    made = all_runs(spark, d)
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def stored_table(spark: SparkSession, d: str) -> KeyedTable:
+    """A keyed table of the same runs."""
+    table = KeyedTable(spark, shared.folder(spark, "table"))
+    table.flush(all_runs(spark, d))
+    return table
+
+
 def probe_keys(spark: SparkSession, d: str) -> DataFrame:
     customers = spark.read.parquet(f"{d}/customer.parquet")
     return customers.select(F.concat(F.lit("u"), "c_custkey", F.lit(":3")).alias("key")).distinct()
@@ -175,6 +191,27 @@ def lsm_rotate_by_bytes(spark, d):
     return runs.runs_by_bytes(fold.effective_writes(cmdlog(spark, d)).select("seq", "key", "value"), budget=16_384)
 
 
+@query(
+    f"""WITH RECURSIVE {LOG_SQL}, {EFF_SQL}, sized AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, key, op, strlen(key) + CASE WHEN op = 'DEL' THEN 0 ELSE coalesce(strlen(value), 0) END AS size FROM eff
+), cut AS (
+  SELECT CAST(0 AS BIGINT) AS run_seq, CAST(1 AS BIGINT) AS first
+  UNION ALL
+  SELECT run_seq + 1, nxt FROM (
+    SELECT c.run_seq, (
+      SELECT min(n) FROM (
+        SELECT n, op, size, sum(delta) OVER (ORDER BY n) - delta AS held FROM (
+          SELECT n, op, size, size - coalesce(lag(size) OVER (PARTITION BY key ORDER BY n), 0) AS delta FROM sized WHERE n >= c.first
+        )
+      ) WHERE n > c.first AND CASE WHEN op = 'DEL' THEN held >= 16384 ELSE held + size > 16384 END
+    ) AS nxt FROM cut c
+  ) WHERE nxt IS NOT NULL
+) SELECT s.seq, s.key, (SELECT max(run_seq) FROM cut WHERE first <= s.n) AS run_seq FROM sized s"""
+)
+def lsm_rotate(spark, d):
+    return runs.rotate(fold.effective_writes(cmdlog(spark, d)), budget=16_384).select("seq", "key", "run_seq")
+
+
 @query(f"{RUNS} SELECT * FROM catalog")
 def run_stats(spark, d):
     return runs.stats(all_runs(spark, d))
@@ -182,12 +219,13 @@ def run_stats(spark, d):
 
 @query(f"{RUNS} SELECT key, value, seq, is_deleted FROM runs WHERE run_seq = 0 ORDER BY key")
 def run_scan(spark, d):
-    return all_runs(spark, d).where("run_seq = 0").select("key", "value", "seq", "is_deleted").orderBy("key")
+    return stored_table(spark, d).stored().where("run_seq = 0").select("key", "value", "seq", "is_deleted").orderBy("key")
 
 
 @query(f"{RUNS} SELECT run_seq, key, value, is_deleted FROM runs WHERE key = 'u8:3'")
 def run_get(spark, d):
-    return all_runs(spark, d).where(F.col("key") == "u8:3").select("run_seq", "key", "value", "is_deleted")
+    """From the stored runs that range and filter do not rule out, with the key as a pushed filter."""
+    return stored_table(spark, d).versions("u8:3").select("run_seq", "key", "value", "is_deleted")
 
 
 @query(
@@ -218,7 +256,7 @@ def lsm_tombstones(spark, d):
 @query(f"{RUNS}, {PROBES} SELECT p.key, count(c.run_seq) AS n_runs FROM probes p LEFT JOIN catalog c ON p.key BETWEEN c.min_key AND c.max_key GROUP BY p.key")
 def zone_map_prune(spark, d):
     probes = probe_keys(spark, d)
-    kept = runs.candidates(probes, runs.stats(all_runs(spark, d)))
+    kept = runs.candidates(probes, runs.stats(stored_runs(spark, d)))
     return probes.join(kept, "key", "left").groupBy("key").agg(F.count("run_seq").alias("n_runs"))
 
 
@@ -226,7 +264,7 @@ def zone_map_prune(spark, d):
     f"{RUNS} SELECT a.run_seq AS run_a, b.run_seq AS run_b FROM catalog a JOIN catalog b ON a.run_seq < b.run_seq AND a.min_key <= b.max_key AND b.min_key <= a.max_key"
 )
 def run_overlap(spark, d):
-    return runs.overlapping(runs.stats(all_runs(spark, d)))
+    return runs.overlapping(runs.stats(stored_runs(spark, d)))
 
 
 @query("SELECT level, CAST(262144 * pow(3, level) AS BIGINT) AS budget_bytes FROM range(7) t(level)")
@@ -239,7 +277,7 @@ def level_budgets(spark, d):
 SELECT level, n_runs, n_bytes FROM levels WHERE (level = 0 AND n_runs >= 4) OR (level >= 1 AND n_bytes >= 262144 * pow(3, level)) ORDER BY level LIMIT 1"""
 )
 def compaction_pick(spark, d):
-    return runs.pick(runs.stats(all_runs(spark, d)))
+    return runs.pick(stored_table(spark, d).catalog())
 
 
 @query(
@@ -262,6 +300,58 @@ def compaction_bottom(spark, d):
     return runs.compact(all_runs(spark, d), 1, 0, bottom=True)
 
 
+@query(
+    f"""{RUNS}, levels AS (SELECT level, count(*) AS n_runs, sum(n_bytes) AS n_bytes FROM catalog GROUP BY level),
+due AS (SELECT min(level) AS level FROM levels WHERE (level = 0 AND n_runs >= 4) OR (level >= 1 AND n_bytes >= 262144 * pow(3, level))),
+own AS (SELECT c.* FROM catalog c JOIN due ON c.level = due.level WHERE c.level = 0 OR run_seq = (SELECT min(run_seq) FROM catalog x WHERE x.level = due.level)),
+b AS (SELECT min(min_key) AS low, max(max_key) AS high FROM own)
+SELECT level, run_seq FROM own UNION ALL SELECT c.level, c.run_seq FROM catalog c, b, due WHERE c.level = due.level + 1 AND c.min_key <= high AND low <= c.max_key"""
+)
+def compaction_candidate(spark, d):
+    return runs.candidate(stored_table(spark, d).catalog())
+
+
+@query(
+    f"""{RUNS}, due AS (SELECT count(*) >= 4 AS yes FROM catalog WHERE level = 0)
+SELECT key, value, seq, is_deleted, 1 AS level FROM versions, due WHERE yes AND vn = 1 AND NOT is_deleted
+UNION ALL SELECT key, value, seq, is_deleted, level FROM runs, due WHERE NOT yes"""
+)
+def table_compact(spark, d):
+    """The stored rows after one step: if level 0 is full, it and all runs below it have become runs of level 1."""
+    table = stored_table(spark, d)
+    table.compact()
+    return table.stored().select("key", "value", "seq", "is_deleted", "level")
+
+
+@query(f"{STATE}, {PROBES} SELECT p.key, s.value IS NOT NULL AS found, coalesce(s.value, 'NULL') AS value FROM probes p LEFT JOIN state s ON s.key = p.key")
+def table_multi_get(spark, d):
+    """A table reopened from its folder after a log was applied to it in two parts and compacted."""
+    log, path = cmdlog(spark, d), shared.folder(spark, "table")
+    middle = log.agg(F.expr("max(seq) div 2")).scalar()
+    for half in (log.where(F.col("seq") <= middle), log.where(F.col("seq") > middle)):
+        KeyedTable(spark, path).apply(half)
+    table = KeyedTable(spark, path)
+    table.compact()
+    return KeyedTable(spark, path).multi_get(probe_keys(spark, d))
+
+
+@query(
+    """SELECT substr(key, 1, 1) AS first_digit, count(*) AS n, count(*) AS n_found, count(*) AS n_right, CAST(sum(strlen(value)) AS BIGINT) AS n_bytes
+FROM (SELECT CAST(i AS VARCHAR) AS key, 'value' || i AS value FROM range(1000000) t(i)) GROUP BY 1"""
+)
+def table_sequential_load(spark, d):
+    """A million keys put, compacted and read again, each compared with what was put."""
+    table = KeyedTable(spark, shared.folder(spark, "table"), budget_bytes=4 << 20)
+    for k in range(4):
+        table.put(spark.range(k, 1_000_000, 4).selectExpr("cast(id as string) as key", "concat('value', id) as value"))
+    while table.compact():
+        pass
+    found = table.multi_get(spark.range(1_000_000).selectExpr("cast(id as string) as key"))
+    right = F.count_if(F.col("found") & (F.col("value") == F.concat(F.lit("value"), "key")))
+    size = F.sum(F.when(F.col("found"), F.octet_length("value"))).cast("bigint")
+    return found.groupBy(F.substring("key", 1, 1).alias("first_digit")).agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("n_found"), right.alias("n_right"), size.alias("n_bytes"))
+
+
 # ----------------------------------------------------------------------------------------------- Bloom
 
 BITS = f"""{RUNS}, sized AS (
@@ -293,14 +383,29 @@ def bloom_bits(spark, d):
 SELECT h.run_seq, h.key, EXISTS (SELECT 1 FROM runs r WHERE r.run_seq = h.run_seq AND r.key = h.key) AS present FROM hits h"""
 )
 def bloom_probe(spark, d):
-    every = all_runs(spark, d)
+    """Filters are stored beside the runs and loaded for the probes."""
+    every, path = stored_runs(spark, d), shared.folder(spark, "bloom")
     keys = every.select("run_seq", "key")
+    bloom.save(bloom.packed(bloom.build(keys, "run_seq"), "run_seq"), path)
     kept = runs.candidates(probe_keys(spark, d), runs.stats(every))
-    hits = bloom.probe(kept.select("run_seq", "key"), bloom.build(keys, "run_seq"), "run_seq")
+    hits = bloom.probe(kept, bloom.load(spark, path), "run_seq")
     present = keys.withColumn("present", F.lit(True))
     return hits.join(present, ["run_seq", "key"], "left").select("run_seq", "key", F.coalesce("present", F.lit(False)).alias("present"))
 
 
+@query(
+    f"""{BITS}, every AS (SELECT DISTINCT run_seq, m, k, unnest(range((m + 63) // 64)) AS word FROM filters),
+words AS (SELECT run_seq, p // 64 AS word, bit_or(CAST(1 AS UBIGINT) << CAST(p % 64 AS UBIGINT)) AS bits FROM placed GROUP BY 1, 2)
+SELECT run_seq, m, k, CAST(word AS BIGINT) AS word, printf('%016x', coalesce(bits, CAST(0 AS UBIGINT))) AS bits FROM every LEFT JOIN words USING (run_seq, word)"""
+)
+def bloom_stored(spark, d):
+    """The words of the stored filters, as they are loaded again."""
+    path = shared.folder(spark, "bloom")
+    bloom.save(bloom.packed(bloom.build(all_runs(spark, d).select("run_seq", "key"), "run_seq"), "run_seq"), path)
+    words = bloom.load(spark, path).select("run_seq", "m", "k", F.posexplode("words").alias("word", "bits"))
+    return words.select("run_seq", "m", "k", F.col("word").cast("bigint").alias("word"), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("bits"))
+
+
 # ------------------------------------------------------------------------------------ parsers and sources
 
 
@@ -328,26 +433,62 @@ def resp_parse(spark, d):
     return resp.read(resp.write(cmdlog(spark, d)))
 
 
+NL = "chr(13) || chr(10)"
+#: For each way in which a command can be bad, its error.
+BAD = "frame verb verb_length no_verb no_key key_long key_length no_value value_long value_length".split()
+ERROR_SQL = "CASE kind " + " ".join("WHEN {} THEN '{}'{}".format(k, resp.ERRORS[e].rstrip("\r\n"), f" || {NL}" if resp.ERRORS[e].endswith("\n") else "") for k, e in enumerate(BAD)) + " END"
+
+
+def broken(kind, key):
+    """A command that is bad in the way ``kind`` (a number in ``BAD``, but the first)."""
+    nl, bulk_key = "\r\n", text.bulk(key)
+    bodies = {
+        "verb": F.concat(F.lit(f"$3{nl}FOO{nl}"), bulk_key),
+        "verb_length": F.concat(F.lit(f"$4{nl}INCR{nl}"), bulk_key),
+        "no_verb": F.concat(F.lit(f"GET{nl}"), bulk_key),
+        "no_key": F.lit(f"$3{nl}GET{nl}x{nl}"),
+        "key_long": F.concat(F.lit(f"$3{nl}GET{nl}$999999999{nl}"), key, F.lit(nl)),
+        "key_length": F.concat(F.lit(f"$3{nl}GET{nl}$1{nl}"), key, F.lit(nl)),
+        "no_value": F.concat(F.lit(f"$3{nl}SET{nl}"), bulk_key, F.lit(f"x{nl}")),
+        "value_long": F.concat(F.lit(f"$3{nl}SET{nl}"), bulk_key, F.lit(f"$99999999999999999999{nl}v{nl}")),
+        "value_length": F.concat(F.lit(f"$3{nl}SET{nl}"), bulk_key, F.lit(f"$1{nl}abc{nl}")),
+    }
+    out = F.lit(None).cast("string")
+    for name, body in bodies.items():
+        out = F.when(kind == BAD.index(name), body).otherwise(out)
+    return out
+
+
+@query(f"{LOG} SELECT seq AS req_id, CAST(1 AS BIGINT) AS idx, {ERROR_SQL} AS error FROM (SELECT seq, seq % 10 AS kind FROM log)")
+def resp_errors(spark, d):
+    """One bad command a request, in each of the ten ways; the errors' exact bytes."""
+    kind = F.col("seq") % 10
+    body = F.coalesce(F.concat(F.lit("*1\r\n"), broken(kind, F.col("key"))), F.lit("$3\r\nGET\r\n"))
+    return resp.read(cmdlog(spark, d).select(F.col("seq").alias("req_id"), body.alias("body"))).select("req_id", "idx", "error")
+
+
+#: One command in seven is bad, in turn in each way (from 1 on), with good ones between; one request in 37 is no array.
+KIND = "CASE WHEN seq % 7 = 3 THEN seq // 7 % 9 + 1 ELSE -1 END"
+NO_ARRAY = "seq // 50 % 37 = 5"
+
+
 @query(
-    f"""{LOG} SELECT seq AS req_id, CAST(1 AS BIGINT) AS idx, CASE seq % 8 WHEN 0 THEN '-ERR' WHEN 1 THEN '-ERR OP' WHEN 2 THEN '-ERR OP LEN' WHEN 3 THEN '-ERR FIND NO KEY'
-WHEN 4 THEN '-ERR KEY LEN1' WHEN 5 THEN '-ERR KEY LEN2' WHEN 6 THEN '-ERR FIND NO' ELSE '-ERR FIND NO CMD' END AS error FROM log"""
+    f"""WITH {LOG_SQL.replace("log AS", "raw AS", 1)}, kinds AS (SELECT *, {KIND} AS kind, {NO_ARRAY} AS no_array FROM raw),
+log AS (SELECT seq, op, key, value FROM kinds WHERE kind < 0 AND NOT no_array), {REPLIES.split(", ", 1)[1].split("FROM events\n), ", 1)[1]},
+each AS (
+  SELECT k.seq // 50 AS req_id, k.seq, no_array, CASE WHEN kind > 0 THEN {ERROR_SQL} WHEN k.op = 'GET' THEN '$' || strlen(reply) || {NL} || reply || {NL} ELSE '+OK' || {NL} END AS c
+  FROM kinds k LEFT JOIN replies r ON r.seq = k.seq
 )
-def resp_errors(spark, d):
-    key, nl = text.bulk(F.col("key")), "\r\n"
-    broken = {
-        0: F.concat(F.lit(f"$3{nl}GET{nl}"), key),
-        1: F.concat(F.lit(f"*2{nl}$3{nl}FOO{nl}"), key),
-        2: F.concat(F.lit(f"*2{nl}$4{nl}INCR{nl}"), key),
-        3: F.lit(f"*2{nl}$3{nl}GET{nl}"),
-        4: F.concat(F.lit(f"*2{nl}$3{nl}GET{nl}$999{nl}"), F.col("key"), F.lit(nl)),
-        5: F.concat(F.lit(f"*2{nl}$3{nl}GET{nl}$1{nl}"), F.col("key"), F.lit(nl)),
-        6: F.concat(F.lit(f"*3{nl}$3{nl}SET{nl}"), key),
-    }
-    body = F.lit(f"*1{nl}GET{nl}")
-    for k, b in broken.items():
-        body = F.when(F.col("seq") % 8 == k, b).otherwise(body)
-    parsed = resp.read(cmdlog(spark, d).select(F.col("seq").alias("req_id"), body.alias("body")))
-    return parsed.where("idx = 1").select("req_id", "idx", F.regexp_replace("error", r"\s+$", "").alias("error"))
+SELECT req_id, CASE WHEN bool_or(no_array) THEN '-ERR' || {NL} ELSE '*' || count(*) || {NL} || string_agg(c, '' ORDER BY seq) END AS body FROM each GROUP BY req_id"""
+)
+def resp_execute(spark, d):
+    """Requests with good and bad commands, answered in bytes."""
+    log = cmdlog(spark, d)
+    kind = F.expr(KIND.replace("//", "div"))
+    good = resp.command(F.col("op"), F.col("key"), F.col("value"))
+    rows = log.select(F.expr("seq div 50").alias("req_id"), "seq", F.coalesce(broken(kind, F.col("key")), good).alias("c"))
+    requests = resp.framed(rows).select("req_id", F.when(F.expr("req_id % 37 = 5"), F.expr("substring(body, 2)")).otherwise(F.col("body")).alias("body"))
+    return resp.execute(requests)
 
 
 @query(f"{STATE} SELECT key, value FROM state")
@@ -357,31 +498,45 @@ def wal_replay_state(spark, d):
     return fold.state(wal.read(spark, path))
 
 
+def numbered(log: DataFrame, file: int) -> DataFrame:
+    """(position, op, key, value): the place of each command of a log whose ``seq`` is file * ``file`` + place in it.
+
+    Ranks inside blocks of 2**16 places, and running sums over the blocks and files: two small levels.
+    """
+    rows = log.withColumns({"file": F.expr(f"seq div {file}"), "block": F.expr(f"seq % {file} div 65536")})
+    sums = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    tops = sums.groupBy("file").agg(F.sum("n").alias("n"))
+    past = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    tops = tops.select("file", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("top"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("low", F.coalesce(F.sum("n").over(past), F.lit(0))).join(tops, "file").select("file", "block", (F.col("low") + F.col("top")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq"))
+    return rows.withColumn("rank", rank).join(before, ["file", "block"]).select((F.col("before") + F.col("rank")).alias("position"), "op", "key", "value")
+
+
 @query(f"{LOG} SELECT row_number() OVER (ORDER BY seq) AS position, op, key, value FROM log WHERE op <> 'GET'")
 def wal_write_roundtrip(spark, d):
     path = shared.folder(spark, "wal")
-    log = cmdlog(spark, d)
-    wal.write(log, path)
-    back = wal.read(spark, path)
-    # Positions in the log: records of earlier segments, then the place in the segment.
-    number = F.expr(f"seq div {wal.SEGMENT}")
-    sizes = back.groupBy(number.alias("segment")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a segment
-    before, total = [], 0
-    for r in sorted(sizes):
-        before.append((r["segment"], total))
-        total += r["n"]
-    offsets = spark.createDataFrame(before, "segment bigint, before bigint")
-    rows = back.withColumn("segment", number).join(F.broadcast(offsets), "segment")
-    return rows.select((F.col("before") + F.expr(f"seq % {wal.SEGMENT}") + 1).alias("position"), "op", "key", "value")
-
-
-@query(f"{STATE} SELECT key, replace(value, ' ', '') AS value FROM state")
+    wal.write(cmdlog(spark, d), path)
+    return numbered(wal.read(spark, path), wal.SEGMENT)
+
+
+@query(f"{STATE} SELECT key, value FROM state")
 def text_log_replay(spark, d):
     path = shared.folder(spark, "textlog")
-    textlog.write(cmdlog(spark, d).withColumn("value", F.replace("value", F.lit(" "), F.lit(""))), path)
+    textlog.write(cmdlog(spark, d), path)
     return fold.state(textlog.read(spark, path))
 
 
+@query(f"{LOG} SELECT row_number() OVER (ORDER BY seq) AS position, op, 'k ' || key AS key, CASE WHEN seq % 3 = 0 THEN CASE WHEN op <> 'DEL' THEN '' END ELSE value || chr(10) || '\\n' END AS value FROM log WHERE op <> 'GET'")
+def text_log_roundtrip(spark, d):
+    """Keys with spaces; values empty, with spaces, line breaks and backslashes."""
+    path = shared.folder(spark, "textlog")
+    value = F.when(F.col("seq") % 3 == 0, F.when(F.col("op").isin("SET", "MOD"), F.lit(""))).otherwise(F.concat("value", F.lit("\n\\n")))
+    textlog.write(cmdlog(spark, d).withColumns({"key": F.concat(F.lit("k "), "key"), "value": value}), path)
+    return numbered(textlog.read(spark, path), textlog.PART)
+
+
 @query(f"{STATE} SELECT key, value FROM state")
 def run_write_sorted(spark, d):
     path = shared.folder(spark, "run")
@@ -398,8 +553,7 @@ def stream_state(spark, d):
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        name = "stream_" + path[-32:]
-        out = run_available(spark.readStream.schema(log.schema).parquet(f"{path}/in"), name, f"{path}/checkpoint")
+        out = run_available(spark.readStream.schema(log.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
     finally:
         if kept is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -407,3 +561,15 @@ def stream_state(spark, d):
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     last = out.where("not late").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
     return last.where("value is not null")
+
+
+@query(f"{REPLIES} SELECT seq, op, key, got, reply FROM replies")
+def stream_table(spark, d):
+    """What the commands are answered when they arrive in micro-batches that are folded over a stored table."""
+    log, path = cmdlog(spark, d), shared.folder(spark, "stream")
+    third = log.agg(F.expr("max(seq) div 3 + 1")).scalar()
+    for k in range(3):
+        log.where(F.expr("seq") >= third * k).where(F.expr("seq") < third * (k + 1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    fold_into_table(source, f"{path}/table", f"{path}/replies", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/replies").select("seq", "op", "key", "got", "reply")
