@@ -1,20 +1,25 @@
 """SimHash near-duplicate groups by meet-in-the-middle ball hashing.
 
-Two 64-bit fingerprints differ in at most 2r bits exactly if some value lies within r bits of both.  So
-every distinct fingerprint emits all values (variants) within half the radius, variants are shuffled by
-value, and fingerprints that meet at a variant are deduplicated, verified by their Hamming distance and
-linked.  All that meet at one variant are linked with each other, so a star to the smallest of them keeps
-the same components without emitting pairs.
+Every distinct fingerprint emits all values (variants) within half the radius, variants are shuffled by value,
+and fingerprints that meet at a variant are deduplicated, verified by their Hamming distance and linked.  Two
+fingerprints of distance 2h or less have a value within h bits of both.  All that meet at one variant are then
+linked with each other, so a star to one of them keeps the same components without emitting pairs.  If the
+radius is odd, 2h + 1, balls have h + 1 bits, and the star's centre must be within h bits of the variant: a
+pair at the full distance meets so at some value, and whatever meets the centre there is within the radius.
 
 The shuffle carries no variant as a row of its own.  Variants fall into 2**k buckets by a hash that is
-linear over XOR, so a bucket can list the variants it owns of a fingerprint from the fingerprint alone: a
-fingerprint is sent once (8 bytes) to each bucket that owns one of its variants.  The number of buckets
-follows the number of distinct fingerprints, so a bucket's variants always fit in a task.  Copies share a
-fingerprint and are grouped before anything is emitted.
+linear over XOR: bit j of it is the parity of the fingerprint's bits i with i % k = j.  A bucket can therefore
+list the variants it owns of a fingerprint from the fingerprint alone, and a change of h bits changes at most
+h bits of the hash: a fingerprint is sent (8 bytes) to 1 + k + k (k - 1) / 2 buckets for h = 2, not to one for
+each of its 2,081 variants.  The number of buckets follows the number of distinct fingerprints, so a bucket's
+variants always fit in a task.  Copies share a fingerprint and are grouped before anything is emitted.
 
 Fingerprints within few bits find copies that are almost the same.  ``deduplicated`` can also link all texts
-of some Jaccard similarity of their five-word shingles: min-hash bands propose pairs of shingle sets, the
-sets themselves decide.
+of some Jaccard similarity of their five-word shingles, which no ball of bits can (the README has figures).
+Min-hash bands bring sets together; in each band all are compared, by the sets themselves, with one centre: the
+one that shares bands with most others, as an original does among its copies.  What is still in different
+classes is compared with the next centre, until a round links nothing.  So the number of comparisons grows with
+the number of sets, not with the square of a group.
 
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle has one shingle of all its words; repeated rows each stay, with the same class; a
@@ -27,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh, materialize, release, without
+from .common import append_columns, chosen_rows, materialize, placed_rows, release, without
 
 #: Variants that a bucket owns on average at most, and how many of them a task holds at once.
 BUCKET_VARIANTS, AT_ONCE = 1 << 23, 1 << 20
@@ -100,8 +106,8 @@ def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -
 # -------------------------------------------------------------------------------------- similar shingle sets
 
 #: Words of a shingle in sets; bands, and min-hashes in each: a pair of similarity 0.8 shares no band with a
-#: probability of (1 - 0.8 ** 5) ** 32, about three in a million.
-SET_WIDTH, BANDS, ROWS = 5, 32, 5
+#: probability of (1 - 0.8 ** 5) ** 24, about seven in 100,000.
+SET_WIDTH, BANDS, ROWS = 5, 24, 5
 
 
 def shingle_set(text: str | None, seed: int = 42) -> np.ndarray:
@@ -148,36 +154,74 @@ def with_sets(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return append_columns(docs, "text", added, per_batch)
 
 
-def similar_links(only: DataFrame, rows: DataFrame, roots: DataFrame, similar: float, seed: int) -> DataFrame:
-    """Links (u, v) of fingerprints in different classes whose texts have a Jaccard similarity of
-    ``similar`` or more.  ``only`` has text, h and k; ``rows`` has h, k, fp and the columns of ``with_sets``;
-    ``roots`` (fp, root) are the classes so far.  Pairs of one class are not compared."""
+def alike(pairs: DataFrame, only: DataFrame, sets: DataFrame, similar: float, seed: int) -> DataFrame:
+    """The ``pairs`` (set_a, set_b, u, v) whose sets have a Jaccard similarity of ``similar`` or more, as (u, v).
+
+    ``sets`` (set_id, file, row) names a row of ``only`` (text, file, row) for each set.  Only the texts that
+    are compared are cut into shingles, where they lie; their shingles' hashes are shuffled, not they.
+    """
     percent = round(100 * similar)
-    hash_of = F.min(F.struct("h", "k")).alias("x")
-    known = rows.where("set_id is not null").join(roots, "fp")
-    sets = known.groupBy("set_id").agg(F.min("root").alias("root"), F.max("set_size").alias("n"), F.first("band_keys").alias("band_keys"), hash_of)
-    sets = materialize(sets, "sets")
-    same = known.join(sets.select("set_id", F.col("root").alias("v")), "set_id").select(F.col("root").alias("u"), "v").where("u <> v").distinct()
-    keys = sets.select("set_id", "root", "n", F.explode("band_keys").alias("key"))
-    a, b = (keys.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "root", "n")]) for side in "ab")
-    # Sets of similarity s differ in size by the factor s at most.
-    pairs = a.join(b, "key").where(f"set_id_a < set_id_b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = materialize(pairs.select("set_id_a", "set_id_b", F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct(), "pairs")
-    need = pairs.select(F.col("set_id_a").alias("set_id")).union(pairs.select("set_id_b")).distinct()
-    need = sets.join(need, "set_id").select("set_id", "x.h", "x.k")
-    chosen = only.select("h", "k", "text").join(need, ["h", "k"]).select("set_id", "text")
+    need = pairs.select(F.col("set_a").alias("set_id")).union(pairs.select("set_b")).distinct()
+    places = materialize(sets.select("set_id", "file", "row").join(need, "set_id"), "compared")
 
     def grams_of(texts):
         return [pa.array([shingle_set(t, seed).view(np.int64) for t in texts], pa.list_(pa.int64()))]
 
-    grams = append_columns(chosen, "text", [("grams", T.ArrayType(T.LongType()))], grams_of).select("set_id", "grams").dropDuplicates(["set_id"])
-    grams = materialize(grams, "grams")
-
+    chosen = chosen_rows(only.select("file", "row", "text"), places.select("file", "row"), "file", "row")
+    grams = append_columns(chosen, "text", [("grams", T.ArrayType(T.LongType()))], grams_of).select("file", "row", "grams")
+    grams = materialize(grams.join(places, ["file", "row"]).select("set_id", "grams"), "grams")
+    release(places)
     for side in "ab":
-        pairs = pairs.join(grams.select(F.col("set_id").alias(f"set_id_{side}"), F.col("grams").alias(f"grams_{side}")), f"set_id_{side}")
+        pairs = pairs.join(grams.select(F.col("set_id").alias(f"set_{side}"), F.col("grams").alias(f"grams_{side}")), f"set_{side}")
     pairs = pairs.withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
-    similar_enough = f"100 * both >= {percent} * (size(grams_a) + size(grams_b) - both)"
-    return pairs.where(similar_enough).select("u", "v").unionByName(same)
+    links = materialize(pairs.where(f"100 * both >= {percent} * (size(grams_a) + size(grams_b) - both)").select("u", "v").distinct(), "links")
+    release(grams)
+    return links
+
+
+def similar_classes(only: DataFrame, rows: DataFrame, linked: DataFrame, similar: float, seed: int) -> DataFrame:
+    """(u, root) of fingerprints whose class is not their own, after texts of a Jaccard similarity of
+    ``similar`` or more are linked as well.  ``only`` has text, file and row; ``rows`` has file, row, fp and the
+    columns of ``with_sets``; ``linked`` (u, root) are the classes so far."""
+    percent = round(100 * similar)
+    known = rows.where("set_id is not null")
+    # One row for each set; its band keys are read where they lie.
+    first = known.groupBy("set_id").agg(F.min(F.struct("file", "row")).alias("x")).select("x.file", "x.row")
+    sets = materialize(chosen_rows(known, first, "file", "row").select("set_id", "set_size", "fp", "file", "row", "band_keys"), "sets")
+    # Fingerprints of one set are one class.
+    same = known.select("set_id", F.col("fp").alias("u")).distinct().join(sets.select("set_id", F.col("fp").alias("v")), "set_id").where("u <> v").select("u", "v")
+    linked = components(linked.withColumnRenamed("root", "v").unionByName(same))
+    # The bands that several sets share, and with how many sets a set shares its bands.
+    every = sets.select("set_id", F.explode("band_keys").alias("key"))
+    sizes = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = materialize(every.join(sizes, "key").select("key", "set_id", "size"), "shared")
+    rank = shared.groupBy("set_id").agg(F.sum("size").alias("rank"))
+    nodes = materialize(sets.join(rank, "set_id").select("set_id", "fp", F.col("set_size").alias("n"), "rank"), "nodes")
+    keys = materialize(shared.select("key", "set_id").join(nodes, "set_id"), "keys")
+    for done in (sizes, shared, nodes):
+        release(done)
+    used, compared = None, None
+    # Sets of similarity s differ in size by the factor s at most.
+    fits = f"root <> v and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    while True:
+        rooted = materialize(keys.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("key", "set_id", "n", "rank", F.coalesce("root", "fp").alias("root")), "rooted")
+        left = rooted if used is None else rooted.join(used, ["key", "set_id"], "left_anti")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        centre = F.max(F.struct("rank", F.col("set_id").alias("c"), F.col("root").alias("v"), F.col("n").alias("m"))).alias("x")
+        centres = materialize(left.join(mixed, "key", "left_semi").groupBy("key").agg(centre).select("key", "x.c", "x.v", "x.m"), "centres")
+        pairs = rooted.join(centres, "key").where(fits).select(F.col("set_id").alias("set_a"), F.col("c").alias("set_b"), F.col("root").alias("u"), "v").distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["set_a", "set_b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        links = alike(pairs, only, sets, similar, seed)
+        release(rooted)
+        if links.isEmpty():
+            return linked
+        linked = components(linked.withColumnRenamed("root", "v").unionByName(links))
+        now = centres.select("key", F.col("c").alias("set_id"))
+        used = now if used is None else used.unionByName(now)
+        now = pairs.select("set_a", "set_b")
+        compared = now if compared is None else compared.unionByName(now)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:
@@ -192,10 +236,14 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, se
 # ------------------------------------------------------------------------------------------ ball hashing
 
 
-@lru_cache(maxsize=4)
-def linear_tables(k: int) -> np.ndarray:
-    """Byte tables of a random linear map from 64 bits to k bits."""
-    columns = np.random.default_rng(64).integers(0, 1 << 30, 64, np.int64) & ((1 << k) - 1)
+@lru_cache(maxsize=64)
+def linear_tables(k: int, more: int) -> np.ndarray:
+    """Byte tables of a linear map from 64 bits to k + ``more`` bits.
+
+    The first k are parities of every k-th bit, so a changed bit changes one of them; the others are random.
+    """
+    columns = np.random.default_rng(64).integers(0, 1 << 30, 64, np.int64) & ((1 << more) - 1)
+    columns = columns << k | (np.int64(1) << np.arange(64) % k if k else 0)
     tables = np.zeros((8, 256), np.int64)
     for b in range(8):
         for v in range(256):
@@ -205,8 +253,8 @@ def linear_tables(k: int) -> np.ndarray:
     return tables
 
 
-def linear_hash(values: np.ndarray, k: int) -> np.ndarray:
-    tables, out = linear_tables(k), np.zeros(len(values), np.int64)
+def linear_hash(values: np.ndarray, k: int, more: int = 0) -> np.ndarray:
+    tables, out = linear_tables(k, more), np.zeros(len(values), np.int64)
     raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
     for b in range(8):
         out ^= tables[b][raw[:, b]]
@@ -214,24 +262,26 @@ def linear_hash(values: np.ndarray, k: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def ball_masks(radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All XOR masks of at most ``radius`` bits in order of their hash, and these hashes."""
-    masks = np.array([sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(64), n)], np.uint64)
-    h = linear_hash(masks, k)
+def ball_masks(half: int, k: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All XOR masks of at most ``half`` bits in order of their hash, and these hashes."""
+    masks = np.array([sum(1 << i for i in c) for n in range(half + 1) for c in combinations(range(64), n)], np.uint64)
+    h = linear_hash(masks, k, more)
     order = np.argsort(h, kind="stable")
     return masks[order], h[order]
 
 
-def bucket_links(fps: np.ndarray, bucket: int, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, bucket: int, radius: int, k: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest one of its local component) for all that a variant of this bucket links;
-    ``fps`` is sorted and distinct."""
-    masks, hashes = ball_masks(radius // 2, k)
-    h = linear_hash(fps, k) ^ bucket
+    ``fps`` is sorted and distinct, ``bucket`` has k + ``more`` bits."""
+    core = radius // 2
+    masks, hashes = ball_masks(radius - core, k, more)
+    h = linear_hash(fps, k, more) ^ bucket
     first = np.searchsorted(hashes, h)
     owned = np.searchsorted(hashes, h, "right") - first
     o = np.repeat(np.arange(len(fps)), owned)
     place = np.arange(len(o)) - np.repeat(np.cumsum(owned) - owned, owned) + first[o]
-    v = fps[o] ^ masks[place]
+    mask = masks[place]
+    v = fps[o] ^ mask
     empty = np.zeros(0, np.uint64)
     if not len(v):
         return empty, empty
@@ -241,12 +291,14 @@ def bucket_links(fps: np.ndarray, bucket: int, radius: int, k: int) -> tuple[np.
         return empty, empty
     place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
     met = shared[place] == v
-    key, who = place[met], o[met]
-    order = np.lexsort((who, key))
-    key, who = key[order], who[order]
+    key, who, outer = place[met], o[met], np.bitwise_count(mask[met]) > core
+    order = np.lexsort((who, outer, key))
+    key, who, outer = key[order], who[order], outer[order]
     begins = np.flatnonzero(np.r_[True, np.diff(key) != 0])
-    centre = np.repeat(who[begins], np.diff(np.r_[begins, len(key)]))
-    pair = np.unique(centre * len(fps) + who)
+    sizes = np.diff(np.r_[begins, len(key)])
+    # A centre is nearer than the ball's edge if the radius is odd; where there is none, no pair is within it.
+    centre, usable = np.repeat(who[begins], sizes), np.repeat(~outer[begins], sizes)
+    pair = np.unique(centre[usable] * len(fps) + who[usable])
     a, b = pair // len(fps), pair % len(fps)
     near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
     a, b = a[near], b[near]
@@ -266,14 +318,27 @@ def bucket_links(fps: np.ndarray, bucket: int, radius: int, k: int) -> tuple[np.
     return fps[linked], fps[label[linked]]
 
 
+def variants_of(radius: int) -> int:
+    """Variants that a fingerprint emits."""
+    return sum(comb(64, i) for i in range((radius + 1) // 2 + 1))
+
+
+def bucket_bits(n: int, radius: int) -> int:
+    """k for n distinct fingerprints: 2**k buckets own ``BUCKET_VARIANTS`` variants each on average at most."""
+    return max(0, int(np.ceil(np.log2(max(1, n * variants_of(radius) / BUCKET_VARIANTS)))))
+
+
+def sent_to(radius: int, k: int) -> int:
+    """Buckets that a fingerprint is sent to, 8 bytes each."""
+    return len(np.unique(ball_masks((radius + 1) // 2, k)[1]))
+
+
 def ball_links(fps: DataFrame, n: int, radius: int = 4, col: str = "fp") -> DataFrame:
     """Links (u, v), v < u unsigned, whose components are those of all pairs within ``radius`` bits.
 
     ``fps`` holds the distinct fingerprints, ``n`` is their number.
     """
-    half = radius // 2
-    variants = sum(len(list(combinations(range(64), i))) for i in range(half + 1))
-    k = max(0, int(np.ceil(np.log2(max(1, n * variants / BUCKET_VARIANTS)))))
+    half, k = (radius + 1) // 2, bucket_bits(n, radius)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owned = np.unique(ball_masks(half, k)[1])
@@ -294,9 +359,12 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, col: str = "fp") -> Data
     def meet(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         fps = np.unique(np.frombuffer(b"".join(group.column("fps").to_pylist()), np.uint64))
-        # More bits of the same hash cut the bucket into parts that are met one after another.
-        more = max(0, int(np.ceil(np.log2(max(1, len(fps) * variants / (1 << k) / AT_ONCE)))))
-        parts = [bucket_links(fps, bucket | part << k, radius, k + more) for part in range(1 << more)]
+        # More bits of the hash cut the bucket into parts that are met one after another.
+        hashes = ball_masks(half, k)[1]
+        target = linear_hash(fps, k) ^ bucket
+        total = int((np.searchsorted(hashes, target, "right") - np.searchsorted(hashes, target)).sum())
+        more = max(0, int(np.ceil(np.log2(max(1, total / AT_ONCE)))))
+        parts = [bucket_links(fps, bucket | part << k, radius, k, more) for part in range(1 << more)]
         u, v = (np.concatenate([x[side] for x in parts]) for side in (0, 1))
         return pa.table({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
 
@@ -337,13 +405,12 @@ def components(links: DataFrame) -> DataFrame:
 def classes_of(rows: DataFrame, radius: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint of ``rows`` (doc_id, fp); root names its class.
 
-    ``more`` gives further links from the classes (fp, root) that the fingerprints alone make.
+    ``more`` turns the classes (u, root) that fingerprints alone make into larger ones.
     """
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(ball_links(nodes, nodes.count(), radius))
     if more:
-        roots = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-        linked = components(linked.withColumnRenamed("root", "v").unionByName(more(roots)))
+        linked = more(linked)
     members = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return members.join(ids, "root").select("fp", "root", "component_id")
@@ -360,21 +427,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, similar: float | None = None) -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest id (nulls last).
 
-    Rows that agree in id and text count as one document.  With ``similar``, texts whose sets of five-word
-    shingles have at least this Jaccard similarity are linked too, whatever their fingerprints.
+    Of rows with the same id, the one of the smallest text hash stays, then the first one.  With ``similar``,
+    texts whose sets of five-word shingles have at least this Jaccard similarity are linked too, whatever their
+    fingerprints.  Rows are known by their place in the files, so no text is shuffled.
     """
-    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    keys = fresh(docs.columns, "_row_hash"), fresh(docs.columns, "_row_id")
-    key = F.xxhash64(ident.isNull(), ident, text.isNull(), text), F.coalesce(F.xxhash64(ident), F.lit(0))
-    only = docs.select(ident.alias("doc_id"), text.alias("text"), key[0].alias("h"), key[1].alias("k"))
+    placed, file, row = placed_rows(docs, "documents")
+    text = F.col(f"`{text_col}`")
+    only = placed.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.col(file).alias("file"), F.col(row).alias("row"))
     marked = with_fingerprint(only, "text", width, seed) if similar is None else with_sets(only, width, seed)
     rows = materialize(marked.drop("text"), "fingerprints")
-    more = None if similar is None else lambda roots: similar_links(only, rows, roots, similar, seed)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "k")
-    first = rows.join(classes_of(rows, radius, more), "fp").groupBy("root").agg(F.min(order).alias("x"))
-    first = first.select(F.col("x.h").alias(keys[0]), F.col("x.k").alias(keys[1]))
-    kept = docs.withColumns(dict(zip(keys, key))).join(first, list(keys), "left_semi")
-    return without(kept.dropDuplicates(list(keys)), keys).select(*[F.col(f"`{c}`") for c in docs.columns])
+    more = None if similar is None else lambda linked: similar_classes(only, rows, linked, similar, seed)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "file", "row")
+    first = rows.select("doc_id", "h", "file", "row", "fp").join(classes_of(rows, radius, more), "fp").groupBy("root").agg(F.min(order).alias("x"))
+    kept = chosen_rows(placed, first.select(F.col("x.file").alias(file), F.col("x.row").alias(row)), file, row)
+    return without(kept, [file, row])
 
 
 def hex_fingerprint(col: str = "fp"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import regex
@@ -36,6 +37,20 @@ def components(fingerprints, radius=4):
     return {k: find(k) for k in ids}
 
 
+def similar_classes(docs, similar=0.8):
+    """id -> smallest id of its class: near fingerprints, or five-word shingle sets of this similarity."""
+    classes = components({k: fingerprint(t) for k, t in docs})
+    sets = {}
+    for k, t in docs:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if classes[a] != classes[b] and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= round(10 * similar) * len(sets[a] | sets[b]):
+            low, high = sorted((classes[a], classes[b]))
+            classes = {k: low if c == high else c for k, c in classes.items()}
+    return classes
+
+
 def words(text):
     return [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
 
@@ -43,8 +58,8 @@ def words(text):
 def contaminated(text, item):
     """Most equal words in an aligned window within the tolerance, or 0."""
     a, b = words(text), words(item)
-    k = min(13, len(b))
-    if k < 8:
+    k = min(13, len(a), len(b))
+    if not k or (k < 8 and k < len(b)):
         return 0
     least = k - (2 if k >= 13 else 1 if k >= 10 else 0)
     best = 0

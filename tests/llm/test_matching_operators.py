@@ -2,18 +2,18 @@
 
 import itertools
 import random
-import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldmill.llm import decontamination as dc
 from foldmill.llm import license_scan, queries, sharding, simhash, url_filter
 
 from . import tables
-from .brute import components, contaminated, fingerprint
+from .brute import components, contaminated, fingerprint, similar_classes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,7 +36,7 @@ def overlap_rows(df):
 def test_substituted_passages(spark, limit):
     rnd = random.Random(7)
     vocabulary = [f"w{k}" for k in range(60)]
-    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.choice([5, 8, 9, 10, 12, 13, 20, 40])))) for k in range(12)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.choice([1, 2, 3, 5, 7, 8, 9, 10, 12, 13, 20, 40])))) for k in range(24)]
     docs = []
     for k in range(150):
         text = rnd.choices(vocabulary, k=rnd.randint(0, 40))
@@ -54,8 +54,9 @@ def test_substituted_passages(spark, limit):
     for d, t in docs:
         for i, x in items:
             if n := contaminated(t, x):
-                expect.append((str(d), str(i), min(13, len(x.split())), n))
+                expect.append((str(d), str(i), min(13, len(x.split()), len(t.split())), n))
     assert expect and overlap_rows(found) == sorted(expect)
+    assert {e[2] for e in expect} >= {1, 2, 8, 13}
 
 
 def test_decontaminated_keeps_the_rest(spark, tmp_path):
@@ -68,6 +69,16 @@ def test_decontaminated_keeps_the_rest(spark, tmp_path):
     assert +gone == Counter({"1": 1, "2": 2, "None": 1, "7": 1, "10": 1})
 
 
+@pytest.mark.parametrize("limit", [dc.BROADCAST_BYTES, 0])
+def test_short_items_and_short_documents(spark, limit):
+    """Items of one to seven words count if all their words stand in a row; a document of eight words or more
+    that is part of a longer item counts too."""
+    items = spark.createDataFrame([(1, "What is water?"), (2, "one"), (3, " ".join(f"w{k}" for k in range(30)))], "item_id int, text string")
+    docs = [(1, "They asked: what is, WATER"), (2, "what is the water"), (3, "One."), (4, "w3 w4 w5 w6 w7 w8 w9 w10"), (5, "w3 w4 w5 w6 w7 w8 w9"), (6, "what is water what is water")]
+    found = dc.overlaps(spark.createDataFrame(docs, "doc_id int, text string"), items, broadcast_bytes=limit)
+    assert overlap_rows(found) == [("1", "1", 3, 3), ("3", "2", 1, 1), ("4", "3", 8, 8), ("6", "1", 3, 3)]
+
+
 # ------------------------------------------------------------------------------------------------- URLs
 
 
@@ -87,8 +98,8 @@ def verdicts(entries, captures):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_url_filter_replay(spark, seed):
+@pytest.mark.parametrize("seed, limit", [(1, 0), (2, url_filter.BROADCAST_BYTES)])
+def test_url_filter_replay(spark, seed, limit):
     rnd = random.Random(seed)
     host = lambda: rnd.choice(["a.com", "b.a.com", "c.b.a.com", "x.org"])
     key = lambda: rnd.choice(["d:", "p:"]) + host()
@@ -98,7 +109,7 @@ def test_url_filter_replay(spark, seed):
         entries.append((rnd.choice("LM"), k if k[0] == "d" else k + rnd.choice(["", "/u", "/u/v"]), f"2024-01-{rnd.randint(1, 28):02d}", rnd.choice(["add", "remove"]), n))
     captures = [(f"http://{host()}/{rnd.choice(['', 'u', 'u/', 'u/v', 'u/v/w', 'z'])}", f"2024-01-{rnd.randint(1, 31):02d}") for _ in range(150)]
     found = url_filter.evaluated(
-        spark.createDataFrame(captures, "url string, fetch_day string"), spark.createDataFrame(entries, "list_name string, key string, day string, action string, seq bigint")
+        spark.createDataFrame(captures, "url string, fetch_day string"), spark.createDataFrame(entries, "list_name string, key string, day string, action string, seq bigint"), broadcast_bytes=limit
     ).collect()
     assert sorted(((r["url"], r["fetch_day"], r["blocked"], r["n_active"], r["matched_key"]) for r in found), key=str) == verdicts(entries, captures)
 
@@ -144,11 +155,28 @@ def test_placement(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_written_shards_are_even_and_few(spark, tmp_path):
+    """32 shards of three files: all keys in their shard, files alike in size even with one hot key."""
+    docs = spark.range(60_000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "id as n").repartition(5)
+    shards = [f"s{k}" for k in range(32)]
+    sharding.write_shards(docs, str(tmp_path / "out"), "doc_id", shards, 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select("n").distinct().count() == back.count() == 60_000
+    wrong = back.join(sharding.placed(docs, "doc_id", shards).selectExpr("n", "shard as own"), "n").where("shard <> own")
+    assert wrong.count() == 0
+    files = [[len(list(d.glob("*.parquet")))] for d in (tmp_path / "out").iterdir() if d.is_dir()]
+    assert len(files) == 32 and max(files) == [3]
+    sizes = back.groupBy("shard", F.input_file_name().alias("f")).count().groupBy("shard").agg(F.min("count").alias("a"), F.max("count").alias("b")).collect()
+    assert all(r["b"] <= 1.2 * r["a"] + 20 for r in sizes)
+    sharding.write_shards(docs, str(tmp_path / "by_size"), "doc_id", shards)
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "by_size").iterdir() if d.is_dir())
+
+
 # --------------------------------------------------------------------------------------------- licenses
 
 
 def test_anchors_cover_every_template():
-    marks = set(license_scan.anchors(license_scan.TEMPLATES))
+    marks = set(license_scan.anchors(list(license_scan.TEMPLATES.values())))
     for text in license_scan.TEMPLATES.values():
         shingles = set(license_scan.shingles_of_template(text))
         assert sum(not set(s) & marks for s in shingles) < 0.8 * len(shingles)
@@ -175,11 +203,23 @@ def test_license_edits(spark, limit):
     assert all(r["matched"] >= 0.8 * r["of"] for r in found)
 
 
+@pytest.mark.parametrize("limit", [license_scan.BROADCAST_BYTES, 0])
+def test_short_notices_and_template_tables(spark, limit):
+    """Templates of fewer than five words match inside longer texts; templates may come as a table."""
+    rows = [("short", "All rights reserved."), ("one", "Proprietary"), ("long", "this is a longer notice of seven words"), ("none", "--"), (None, None)]
+    known = spark.createDataFrame(rows, "license string, body string")
+    docs = [(1, "Copyright 2020 Somebody. All Rights  RESERVED, and more."), (2, "all rights are reserved"), (3, "proprietary"), (4, "All rights reserved"), (None, "x this is a longer notice of seven words y")]
+    found = license_scan.scan(spark.createDataFrame(docs, "doc_id int, text string"), known, broadcast_bytes=limit).collect()
+    assert sorted((str(r["doc_id"]), r["license"], r["first_shingle"]) for r in found) == [("1", "short", 2), ("3", "one", 0), ("4", "short", 0), ("None", "long", 0)]
+    assert license_scan.scan(spark.createDataFrame(docs, "doc_id int, text string"), known.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------------------------------------- SimHash
 
 
-@pytest.mark.parametrize("k", [0, 3, 6])
-def test_buckets_together_link_every_near_pair(k):
+@pytest.mark.parametrize("radius", [1, 3, 4, 5])
+@pytest.mark.parametrize("k, more", [(0, 0), (3, 0), (6, 0), (4, 2)])
+def test_buckets_together_link_every_near_pair(radius, k, more):
     rng = np.random.default_rng(k)
     base = rng.integers(0, 2**63, 40, np.uint64)
     flips = rng.integers(0, 64, (40, 8))
@@ -192,14 +232,27 @@ def test_buckets_together_link_every_near_pair(k):
             x = parent[x]
         return x
 
-    for b in range(1 << k):
-        for u, v in zip(*simhash.bucket_links(fps, b, 4, k)):
+    for b in range(1 << k + more):
+        for u, v in zip(*simhash.bucket_links(fps, b, radius, k, more)):
             x, y = find(int(u)), find(int(v))
             parent[max(x, y)] = min(x, y)
-    expect = components({int(f): int(f) for f in fps})
+    expect = components({int(f): int(f) for f in fps}, radius)
     assert {f: find(f) for f in parent} == expect
 
 
+def test_pairs_at_an_odd_radius(spark):
+    """Fingerprints exactly five bits apart link at radius five, and not at four."""
+    fps = spark.createDataFrame([(0,), (0b11111,), (0b11111 << 40 | 0b11111,), (1 << 62,)], "fp bigint")
+    links = [sorted(map(tuple, simhash.ball_links(fps, 4, r).collect())) for r in (4, 5)]
+    assert len(links[0]) == 1 and {x for link in links[1] for x in link} == {0, 0b11111, 0b11111 << 40 | 0b11111, 1 << 62}
+
+
+def test_fan_out_stays_small():
+    """Buckets that a fingerprint is sent to: with k bits of hash 1 + k + k (k - 1) / 2, whatever its 2,081 variants."""
+    for k in (0, 5, 12, 16, 20):
+        assert simhash.sent_to(4, k) == 1 + k + k * (k - 1) // 2
+
+
 def check_groups(found, docs):
     prints = {k: fingerprint(t) for k, t in docs}
     classes = components(prints)
@@ -231,20 +284,6 @@ def test_simhash_chains_in_many_buckets(spark, monkeypatch, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in found})
 
 
-def similar_classes(docs, similar=0.8):
-    """id -> smallest id of its class: near fingerprints, or five-word shingle sets of this similarity."""
-    classes = components({k: fingerprint(t) for k, t in docs})
-    sets = {}
-    for k, t in docs:
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
-        sets[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if classes[a] != classes[b] and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= round(10 * similar) * len(sets[a] | sets[b]):
-            low, high = sorted((classes[a], classes[b]))
-            classes = {k: low if c == high else c for k, c in classes.items()}
-    return classes
-
-
 def test_pipeline_stage_drops_similar_texts(spark):
     """Near copies of similarity 0.8 and more whose fingerprints differ in more than four bits."""
     path = "/root/testdata/sf0.01"
