@@ -3,9 +3,10 @@
 For each distinct pre-token a greedy longest match proposes tokens.  A proposal is the true BPE result
 if, and only if, each of its adjacent pairs is compatible: merging the two tokens' joined bytes gives
 back just these two.  The pairs of all new words of an Arrow batch are tested in one vectorised lookup
-against the verdicts so far; a pair met for the first time is decided by exact merging once per worker.
-Only words with an incompatible pair are merged exactly.  Results of words stay in a bounded worker
-cache.
+against the verdicts so far; a pair met for the first time is decided by exact merging.  Only words with an
+incompatible pair are merged exactly - and those of more than ``LONG`` bytes, since greedy matching goes on
+word by word side by side and one long word would hold up all.  What a worker keeps, results of words and
+verdicts on pairs, is bounded: the younger half becomes the older one when it is full.
 
 Cases: a null text counts as empty; an empty text has no tokens (its ids hash is the hash of the
 empty string); repeated rows and ties do not interact; an empty table gives an empty result; texts are
@@ -16,7 +17,6 @@ of the same name.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,13 +26,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytelevel import UNSETTLED, Merges, library, load
-from .common import append_columns
+from .common import append_columns, resident
 
 #: Fixed value: the word pattern of byte-level vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words in the younger half of a worker's cache; when it is full it becomes the older half.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Pair verdicts of the younger half (9 bytes each), and of those among them that are not merged in yet.
+PAIRS, RECENT = 1 << 20, 1 << 15
+#: Bytes from which a word is merged exactly without a proposal.
+LONG = 512
+
+
+class Verdicts:
+    """Verdicts on pair codes in sorted arrays: recent ones, a younger and an older half."""
+
+    def __init__(self) -> None:
+        empty = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.recent = self.young = self.old = empty
+
+    def __len__(self) -> int:
+        return sum(len(codes) for codes, _ in (self.recent, self.young, self.old))
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each code is known, and its verdict."""
+        known, good = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+        for have, verdict in (self.young, self.recent, self.old):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, codes), len(have) - 1)
+                hit = have[at] == codes
+                known |= hit
+                good[hit] = verdict[at[hit]]
+        return known, good
+
+    @staticmethod
+    def merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([a[0], b[0]])
+        order = np.argsort(codes, kind="stable")
+        return codes[order], np.concatenate([a[1], b[1]])[order]
+
+    def add(self, codes: np.ndarray, good: np.ndarray) -> None:
+        """Add codes that are not known."""
+        self.recent = self.merged(self.recent, (codes, good))
+        if len(self.recent[0]) > RECENT:
+            self.young = self.merged(self.young, self.recent)
+            self.recent = np.zeros(0, np.int64), np.zeros(0, bool)
+            if len(self.young[0]) > PAIRS:
+                self.old, self.young = self.young, self.recent
 
 
 class ByteBpe:
@@ -58,8 +99,9 @@ class ByteBpe:
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.size = size
-        self.known = np.zeros(0, np.int64)  # pair codes, sorted
-        self.good = np.zeros(0, bool)
+        self.verdicts = Verdicts()
+        #: One object for each id: results hold references to these.
+        self.numbers = list(range(size))
         self.cache: dict[str, tuple[int, str, tuple[int, ...]]] = {}
         self.old: dict[str, tuple[int, str, tuple[int, ...]]] = {}
         self.exact_words = self.seen_words = 0
@@ -116,26 +158,27 @@ class ByteBpe:
     def compatible(self, codes: np.ndarray) -> np.ndarray:
         """Whether merging keeps each pair (code a * (size + 1) + b; b = size stands for a alone)."""
         distinct, at = np.unique(codes, return_inverse=True)
-        place = np.searchsorted(self.known, distinct)
-        hit = np.zeros(len(distinct), bool)
-        inside = place < len(self.known)
-        hit[inside] = self.known[place[inside]] == distinct[inside]
-        if not hit.all():
-            fresh = distinct[~hit]
+        known, good = self.verdicts.find(distinct)
+        if not known.all():
+            fresh = distinct[~known]
             pairs = [divmod(c, self.size + 1) for c in fresh.tolist()]
             joined = self.merges.encode_many([self.bytes_of[a] + (self.bytes_of[b] if b != self.size else b"") for a, b in pairs])
-            verdict = np.fromiter((x == ([a, b] if b != self.size else [a]) for x, (a, b) in zip(joined, pairs)), bool, len(pairs))
-            known = np.concatenate([self.known, fresh])
-            order = np.argsort(known, kind="stable")
-            self.known, self.good = known[order], np.concatenate([self.good, verdict])[order]
-            place = np.searchsorted(self.known, distinct)
-        return self.good[place][at]
+            good[~known] = np.fromiter((x == ([a, b] if b != self.size else [a]) for x, (a, b) in zip(joined, pairs)), bool, len(pairs))
+            self.verdicts.add(fresh, good[~known])
+        return good[at]
 
     def learn(self, words: list[str]) -> None:
         """Encode words that the cache does not hold yet."""
+        self.seen_words += len(words)
+        raw = [w.encode() for w in words]
+        long = [k for k, x in enumerate(raw) if len(x) > LONG]
+        if long:
+            self.exact_words += len(long)
+            for k, p in zip(long, self.merges.encode_many([raw[k] for k in long])):
+                self.keep(words[k], p)
+            words, raw = [w for w, x in zip(words, raw) if len(x) <= LONG], [x for x in raw if len(x) <= LONG]
         if not words:
             return
-        raw = [w.encode() for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat, lengths = self.propose(raw, sizes)
         ends = np.cumsum(lengths)
@@ -146,7 +189,6 @@ class ByteBpe:
         ask = (nxt != self.size) | np.repeat(lengths == 1, lengths)
         checked[ask] = self.compatible(flat[ask] * (self.size + 1) + nxt[ask])
         good = np.logical_and.reduceat(checked, ends - lengths)
-        self.seen_words += len(words)
         ids, stops = flat.tolist(), ends.tolist()
         proposed = [ids[a:b] for a, b in zip([0, *stops], stops)]
         failing = np.flatnonzero(~good).tolist()
@@ -154,7 +196,10 @@ class ByteBpe:
         for k, merged in zip(failing, self.merges.encode_many([raw[k] for k in failing])):
             proposed[k] = merged
         for w, p in zip(words, proposed):
-            self.cache[w] = (len(p), ",".join(map(str, p)), tuple(p))
+            self.keep(w, p)
+
+    def keep(self, word: str, ids: list[int]) -> None:
+        self.cache[word] = (len(ids), ",".join(map(str, ids)), tuple(map(self.numbers.__getitem__, ids)))
 
     def plain(self, text: str) -> list[str]:
         if not text.isascii() and UNSETTLED.search(text):
@@ -203,9 +248,9 @@ class ByteBpe:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def worker(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    """The encoder of this process."""
+    return resident(("bpe", path), lambda: ByteBpe(path))
 
 
 def with_tokens(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -215,7 +260,7 @@ def with_tokens(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
         bpe = worker(path)
         return [pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))]
 
-    return append_columns(docs, text_col, [(ids_col, T.ArrayType(T.IntegerType()))], per_batch)
+    return append_columns(docs, text_col, [(ids_col, T.ArrayType(T.IntegerType()))], per_batch, ("bpe", path))
 
 
 def with_decoded(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -225,7 +270,7 @@ def with_decoded(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: s
         bpe = worker(path)
         return [pa.array([None if x is None else bpe.decode(x) for x in ids], pa.string())]
 
-    return append_columns(tokens, ids_col, [(text_col, T.StringType())], per_batch)
+    return append_columns(tokens, ids_col, [(text_col, T.StringType())], per_batch, ("bpe", path))
 
 
 def with_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -242,4 +287,4 @@ def with_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
         return [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
 
     added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return append_columns(docs, text_col, added, per_batch)
+    return append_columns(docs, text_col, added, per_batch, ("bpe", path))

@@ -1,9 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact hash table, broadcast once, from frequent pre-tokens to their numbers of tokens:
-the whole-word entries of the vocabulary in order of merge rank, at most ``TABLE_WORDS`` of them, so its
-size does not depend on the corpus.  Tier two encodes a miss by exact BPE merging and keeps its count in a
-bounded cache of the worker.  Nothing is shuffled: every document is counted where it is read.
+Tier one is a compact table, broadcast once, from frequent pre-tokens to their numbers of tokens.  Which
+pre-tokens are frequent is counted over a bounded sample of documents (``SAMPLE`` rows; a parameter that
+changes speed, never a count): each task adds up its own counts, only these are shuffled, and the most
+frequent are kept up to ``TABLE_WORDS`` entries and ``TABLE_BYTES`` bytes.  Tier two encodes a miss by exact
+BPE merging and keeps its count in a bounded cache of the worker.  No pre-token of the documents is shuffled:
+every document is counted where it is read.
 
 Cases: a null text counts as empty and has 0 bytes and 0 tokens; repeated rows and ties do not interact;
 an empty table gives an empty result; texts are counted whole whatever their length; other columns pass
@@ -13,18 +15,25 @@ through, and the added columns replace columns of the same name.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+import uuid
+from collections import Counter as Tally
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytelevel import UNSETTLED, Merges, library, load
-from .common import append_columns
-
-#: Entries of the broadcast table at most (about 64 bytes each).
-TABLE_WORDS = 65_536
+from .common import append_columns, resident, slices, small_batches
+
+#: Entries of the broadcast table, and bytes of their words, at most.
+TABLE_WORDS, TABLE_BYTES = 65_536, 1 << 20
+#: Documents, about, whose pre-tokens are counted to choose the entries.
+SAMPLE = 4_000
+#: Distinct pre-tokens that a task of this count holds before it puts them out.
+HELD = 500_000
 #: Counts in the younger half of a worker's cache; when it is full it becomes the older half.
 CACHE_WORDS = 250_000
 
@@ -56,20 +65,19 @@ class Counter:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.words.findall(text.lower())
 
+    def pre_tokens(self, text: str | None) -> tuple[int, list[str]]:
+        """Special strings in a text, and its other pre-tokens."""
+        if not text:
+            return 0, []
+        if self.split is None or "<" not in text:
+            return 0, self.plain(text)
+        parts = self.split.split(text)
+        return sum(p in self.special for p in parts), [w for p in parts if p and p not in self.special for w in self.plain(p)]
+
     def counts(self, texts: list[str | None]) -> list[int]:
-        out, at = [], 0
+        out = []
         for at in range(0, len(texts), 256):
-            bases, words = [], []
-            for text in texts[at : at + 256]:
-                base = 0
-                if text and "<" in text and self.split is not None:
-                    parts = self.split.split(text)
-                    base = sum(p in self.special for p in parts)
-                    found = [w for p in parts if p and p not in self.special for w in self.plain(p)]
-                else:
-                    found = self.plain(text) if text else []
-                bases.append(base)
-                words.append(found)
+            bases, words = zip(*map(self.pre_tokens, texts[at : at + 256]))
             if len(self.young) > CACHE_WORDS:
                 self.old, self.young = self.young, {}
             frequent, young, old, new = self.frequent, self.young, self.old, []
@@ -92,38 +100,47 @@ class Counter:
         return out
 
 
-def frequent_table(path: str, limit: int = TABLE_WORDS) -> dict[str, int]:
-    """Numbers of tokens of the vocabulary's whole words, lowest merge rank first, at most ``limit``."""
-    spec = load(path)
-    suffix = spec["model"]["end_of_word_suffix"] or ""
-    counter = Counter(path, {})
-    back = {c: b for b, c in counter.merges.letters.items()}
-    words = []
-    for token, _ in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1]):
-        if len(words) == limit:
-            break
-        if suffix and token.endswith(suffix) and len(token) > len(suffix):
-            try:
-                word = bytes(back[c] for c in token[: -len(suffix)]).decode()
-            except UnicodeDecodeError:
-                continue
-            if counter.plain(word) == [word]:
-                words.append(word)
-    return {w: len(ids) for w, ids in zip(words, counter.merges.encode_many([w.encode() for w in words]))}
+def frequent(docs: DataFrame, path: str, text_col: str = "text", sample: int = SAMPLE, words: int = TABLE_WORDS, size: int = TABLE_BYTES) -> pa.RecordBatch:
+    """(word, n): the most frequent pre-tokens of a sample of ``docs`` and their numbers of tokens, within both bounds."""
+    small_batches(docs.sparkSession)
+    total = docs.count()
+    some = docs.select(F.col(f"`{text_col}`").alias("text"))
+    some = some.sample(fraction=sample / total, seed=7) if total > sample else some
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, held = worker(path), Tally()
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            for text in batch.column(0).to_pylist():
+                held.update(counter.pre_tokens(text)[1])
+            if len(held) > HELD:
+                yield tallied(held)
+                held = Tally()
+        yield tallied(held)
+
+    counts = some.mapInArrow(tally, "word string, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
+    chosen = counts.orderBy(F.desc("times"), "word").limit(words)
+    before = F.sum(F.octet_length("word")).over(Window.orderBy(F.desc("times"), "word"))  # over ``words`` rows at most
+    found = [r["word"] for r in chosen.withColumn("bytes", before).where(F.col("bytes") <= size).collect()]
+    lengths = [len(ids) for ids in worker(path).merges.encode_many([w.encode() for w in found])]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(lengths, pa.int32())], names=["word", "n"])
+
+
+def tallied(held: Tally) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "times"])
 
 
-@lru_cache(maxsize=2)
-def worker(path: str, shared) -> Counter:
-    return Counter(path, shared.value)
+def worker(path: str, name: str = "", shared=None) -> Counter:
+    """The counter of this process; ``shared`` is the broadcast table, known by ``name``."""
+    return resident(("counts", path, name), lambda: Counter(path, dict(zip(*(c.to_pylist() for c in shared.value.columns))) if shared else {}))
 
 
 def with_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_table(path))
+    shared, name = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text_col)), uuid.uuid4().hex
 
     def per_batch(texts):
-        tokens = worker(path, shared).counts(texts)
+        tokens = worker(path, name, shared).counts(texts)
         sizes = [len(t.encode()) if t else 0 for t in texts]
         return [pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
 
-    return append_columns(docs, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], per_batch)
+    return append_columns(docs, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], per_batch, ("counts", path, name))
