@@ -1,17 +1,18 @@
 """License scans by MinHash bands over overlapping text windows.
 
-Texts and templates become five-word shingles (a shorter one: a single shingle of all its words).  A
-template of s shingles belongs to the scale S, the power of two from s on.  At each scale a text is cut
-into windows of 2S shingles, S apart, so any S shingles in a row lie whole within one window.  A band is one
-min-hash of a window; windows and templates that share a band are candidates.  A window with 0.8 of a
-template has a Jaccard similarity with it of 0.8 / 4.2 at least, so ``BANDS`` bands miss it with a
-probability of at most (1 - 0.19) ** 64, about one in a million.  Candidates are then verified by exact
-containment: the share of the template's shingles in the window.
+Texts and templates become five-word shingles; a template of fewer words is one shingle of all its words, and
+is looked for among a text's shingles of that width.  A template of s shingles belongs to the scale S, the
+power of two from s on.  At each width and scale a text is cut into windows of 2S shingles, S apart, so any S
+shingles in a row lie whole within one window.  A band is one min-hash of a window; windows and templates that
+share a band are candidates.  A window with 0.8 of a template has a Jaccard similarity with it of 0.8 / 4.2 at
+least, so ``BANDS`` bands miss it with a probability of at most (1 - 0.19) ** 64, about one in a million.
+Candidates are then verified by exact containment: the share of the template's shingles in the window.
 
 Before any hashing, texts and windows without a single anchor word are passed over.  Anchors are words
 chosen from the templates so that at least one is in every set of 0.8 of a template's shingles: what is
-passed over cannot hold a match, whatever the corpus.  All of it is DataFrame operations; the templates'
-bands are broadcast if their estimated size is small, or joined by a shuffle beyond that.
+passed over cannot hold a match, whatever the corpus.  All of it is DataFrame operations.  Templates are a
+dictionary or a table; their bands are broadcast if their estimated size is small.  Beyond that, bands alone
+are shuffled, and windows are joined back to the candidates.
 
 Cases: words are the runs of letters and digits of the lower-cased text; null or blank texts have none; a
 template without words never matches; repeated rows and equal ids give one row for each pair of ids, with
@@ -32,7 +33,7 @@ from .decontamination import words_of
 WORDS, CONTAINED, BANDS = 5, 0.8, 64
 #: Estimated size of the templates' bands up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
-ANCHORS = 24
+ANCHORS = 48
 
 #: Public license notices, as text.
 TEMPLATES = {
@@ -68,8 +69,42 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "MIT-warranty": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be "
+        "plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "LGPL-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "GPL-statement": "Licensed under the GNU General Public License.",
     "Unlicense-statement": "This is free and unencumbered software released into the public domain.",
-    "All-rights-reserved": "This document is protected by copyright and all rights are reserved.",
+    "All-rights-reserved": "All rights reserved.",
+    "All-rights-reserved-statement": "This document is protected by copyright and all rights are reserved.",
 }
 
 
@@ -79,16 +114,17 @@ def template_words(text: str) -> list[str]:
 
 def shingles_of_template(text: str) -> list[tuple[str, ...]]:
     words = template_words(text)
-    return [tuple(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))] if words else []
+    width = min(WORDS, len(words))
+    return [tuple(words[k : k + width]) for k in range(len(words) - width + 1)] if words else []
 
 
-def anchors(templates: dict[str, str], contained: float = CONTAINED, limit: int = ANCHORS) -> list[str] | None:
+def anchors(templates: list[str], contained: float = CONTAINED, limit: int = ANCHORS) -> list[str] | None:
     """Words of which one is in every ``contained`` part of any template's shingles; None if they are many.
 
     Greedy: of words of six letters or more (these are rarer), else of all, the one in most shingles of
     templates that are not covered yet.
     """
-    shingles = {t: set(shingles_of_template(x)) for t, x in templates.items()}
+    shingles = {t: set(shingles_of_template(t)) for t in templates}
     shingles = {t: s for t, s in shingles.items() if s}
     chosen: list[str] = []
 
@@ -110,12 +146,12 @@ def anchors(templates: dict[str, str], contained: float = CONTAINED, limit: int
     return chosen
 
 
-def shingles_of(words: Column) -> Column:
-    """Hashes of five words in a row, in order; of all words if they are fewer."""
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - WORDS))
+def shingles_of(words: Column, width: int) -> Column:
+    """Hashes of ``width`` words in a row, in order."""
+    places = F.sequence(F.lit(0), F.size(words) - width)
     # Single elements: a slice inside a lambda would copy all words for each shingle.
-    each = F.transform(places, lambda k: F.xxhash64(F.concat_ws(" ", *[F.get(words, k + j) for j in range(WORDS)])))
-    return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<bigint>"))
+    each = F.transform(places, lambda k: F.xxhash64(F.concat_ws(" ", *[F.get(words, k + j) for j in range(width)])))
+    return F.when(F.size(words) >= width, each).otherwise(F.array().cast("array<bigint>"))
 
 
 def bands_of(shingles: Column) -> Column:
@@ -125,52 +161,79 @@ def bands_of(shingles: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED, broadcast_bytes: int = BROADCAST_BYTES
+    docs: DataFrame,
+    templates: dict[str, str] | DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    contained: float = CONTAINED,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row for each document and template it holds: ``doc_id``, ``license``, ``matched`` and ``of``
-    (shingles), and ``first_shingle``, where the first best window starts."""
+    (shingles), and ``first_shingle``, where the first best window starts.
+
+    ``templates`` maps names to texts, or is a table (license, body).
+    """
     templates = TEMPLATES if templates is None else templates
     spark: SparkSession = docs.sparkSession
-    rows = [(t, x) for t, x in templates.items()]
-    known = spark.createDataFrame(rows, "license string, body string").select("license", F.array_distinct(shingles_of(words_of(F.col("body")))).alias("t"))
-    known = known.where(F.size("t") > 0).withColumn("scale", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int"))
-    scales = sorted({1 << (len(set(s)) - 1).bit_length() for x in templates.values() if (s := shingles_of_template(x))})
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(list(templates.items()), "license string, body string")
+    templates = templates.select("license", "body").where("body is not null")
+    # A shingle takes 8 bytes in each band's row, and a row some 64 more.
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("body") * 2 + 64), F.lit(0))).first()[0] * BANDS
+    small = size <= broadcast_bytes
+    known = templates.select("license", words_of(F.col("body")).alias("words")).where(F.size("words") > 0)
+    t = reduce(lambda other, w: F.when(F.size("words") == w, shingles_of(F.col("words"), w)).otherwise(other), range(1, WORDS), shingles_of(F.col("words"), WORDS))
+    known = known.select("license", F.least(F.lit(WORDS), F.size("words")).alias("width"), F.array_distinct(t).alias("t"))
+    known = known.withColumn("scale", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int"))
+    forms = sorted(map(tuple, known.select("width", "scale").distinct().collect()))  # at most five widths by 31 scales
+    marks = anchors([r["body"] for r in templates.collect()], contained) if small else None
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    marks = anchors(templates, contained)
     if marks:
         low = F.lower("text")
         out = out.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in marks]))
-    out = out.select("doc_id", words_of(F.col("text")).alias("words"))
-    out = out.select("doc_id", "words", shingles_of(F.col("words")).alias("s"), F.explode(F.array(*[F.lit(k) for k in scales])).alias("scale"))
+    out = out.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), words_of(F.col("text")).alias("words"))
+    widths = sorted({w for w, _ in forms})
+    out = out.select("*", *[shingles_of(F.col("words"), w).alias(f"s{w}") for w in widths])
+    each = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(k).alias("scale")) for w, k in forms]) if forms else F.array().cast("array<struct<width:int,scale:int>>")
+    out = out.withColumn("form", F.explode(each))
+    chosen = reduce(lambda other, w: F.when(F.col("form.width") == w, F.col(f"s{w}")).otherwise(other), widths, F.array().cast("array<bigint>"))
+    out = out.select("doc_id", "doc", "words", "form.width", "form.scale", chosen.alias("s"))
     # The last window may be short; a start of which the window before holds all is left out.
     starts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") - F.col("scale") - 1), F.col("scale")))
-    out = out.select("doc_id", "words", "s", "scale", F.explode(starts).alias("start"))
+    out = out.withColumn("start", F.explode(starts))
     if marks:
-        part = F.slice("words", F.col("start") + 1, 2 * F.col("scale") + WORDS - 1)
+        part = F.slice("words", F.col("start") + 1, 2 * F.col("scale") + F.col("width") - 1)
         out = out.where(F.arrays_overlap(part, F.array(*[F.lit(w) for w in marks])))
-    windows = out.select("doc_id", "scale", "start", F.array_distinct(F.slice("s", F.col("start") + 1, 2 * F.col("scale"))).alias("w"))
-    probes = windows.select("doc_id", "scale", "start", "w", F.explode(bands_of(F.col("w"))).alias("x")).select("doc_id", "scale", "start", "w", "x.band", "x.value")
-    bands = known.select("license", "scale", "t", F.explode(bands_of(F.col("t"))).alias("x")).select("license", "scale", "t", "x.band", "x.value")
-    if BANDS * sum(8 * len(shingles_of_template(x)) + 64 for x in templates.values()) <= broadcast_bytes:
-        bands = F.broadcast(bands)
-    found = probes.join(bands, ["scale", "band", "value"])
+    form, place = ["width", "scale"], ["doc", "width", "scale", "start"]
+    windows = out.select("doc_id", *place, F.array_distinct(F.slice("s", F.col("start") + 1, 2 * F.col("scale"))).alias("w"))
+    bands = known.select("license", *form, "t", F.explode(bands_of(F.col("t"))).alias("x")).select("license", *form, "t", "x.band", "x.value")
+    if small:
+        probes = windows.select("*", F.explode(bands_of(F.col("w"))).alias("x")).select("doc_id", *place, "w", "x.band", "x.value")
+        found = probes.join(F.broadcast(bands), [*form, "band", "value"])
+    else:
+        probes = windows.select(*place, F.explode(bands_of(F.col("w"))).alias("x")).select(*place, "x.band", "x.value")
+        pairs = probes.join(bands.drop("t"), [*form, "band", "value"]).select(*place, "license").distinct()
+        found = pairs.join(windows, place).join(known.select("license", *form, "t"), ["license", *form])
     found = found.withColumn("matched", F.size(F.array_intersect("w", "t"))).where(F.col("matched") >= F.lit(contained) * F.size("t"))
     found = found.groupBy("doc_id", "license", F.size("t").cast("bigint").alias("of")).agg(F.max(F.struct(F.col("matched"), (-F.col("start")).alias("back"))).alias("x"))
     return found.select("doc_id", "license", F.col("x.matched").cast("bigint").alias("matched"), "of", (-F.col("x.back")).cast("bigint").alias("first_shingle"))
 
 
 def oracle(templates: dict[str, str] | None = None) -> str:
-    """The same windows, all compared with all templates of their scale."""
+    """The same windows, all compared with all templates of their width and scale."""
     values = ", ".join("('{}', '{}')".format(t, x.replace("'", "''")) for t, x in (TEMPLATES if templates is None else templates).items())
     return rf"""
 WITH raw(license, body) AS (VALUES {values}),
 tw AS (SELECT license, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM raw),
-ts AS (SELECT license, list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, greatest(2, len(w) - 3))]) AS t FROM tw),
-tt AS (SELECT license, len(t) AS n, CAST(pow(2, ceil(log2(len(t)))) AS BIGINT) AS scale, unnest(t) AS g FROM ts),
+ts AS (
+  SELECT license, least(5, len(w)) AS width, list_distinct([array_to_string(w[k:k + least(5, len(w)) - 1], ' ') FOR k IN range(1, len(w) - least(5, len(w)) + 2)]) AS t
+  FROM tw WHERE len(w) > 0
+), tt AS (SELECT license, width, len(t) AS n, CAST(pow(2, ceil(log2(len(t)))) AS BIGINT) AS scale, unnest(t) AS g FROM ts),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT rid, doc_id, greatest(1, len(w) - 4) AS n, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM d WHERE len(w) > 0),
-g AS (SELECT rid, doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM s),
-m AS (SELECT rid, doc_id, g.n AS size, p, license, tt.n AS n, scale, g FROM g JOIN tt USING (g)),
+s AS (
+  SELECT rid, doc_id, width, len(w) - width + 1 AS n, w, unnest(range(0, len(w) - width + 1)) AS p FROM d, (SELECT DISTINCT width FROM ts) WHERE len(w) >= width
+), g AS (SELECT rid, doc_id, width, n, p, array_to_string(w[p + 1:p + width], ' ') AS g FROM s),
+m AS (SELECT rid, doc_id, g.n AS size, p, license, tt.n AS n, scale, g FROM g JOIN tt USING (width, g)),
 x AS (SELECT DISTINCT rid, doc_id, license, n, scale, g, q * scale AS start FROM m, (VALUES (0), (1)) v(o), (SELECT 1) z, LATERAL (SELECT p // scale - o AS q) y
       WHERE q >= 0 AND q * scale <= greatest(0, size - scale - 1)),
 c AS (SELECT rid, doc_id, license, n, start, count(*) AS matched FROM x GROUP BY ALL HAVING count(*) >= 0.8 * n)
