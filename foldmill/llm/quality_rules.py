@@ -24,18 +24,20 @@ from .common import append_columns
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Windows of a text from which numbers take the place of words.
+MANY = 20_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stutter")
 
-#: Rule name -> failed, given the measurements (integers; the same expression serves numpy and SQL).
+#: Rule name -> failed, given the measurements (arrays of integers, by name).
 RULES = {
-    "few_words": "n_words < 20",
-    "repeated_windows": "100 * n_repeat_words > 30 * n_words",
-    "symbols": "100 * n_symbols > 15 * n_words",
-    "duplicate_lines": "(n_dup_lines >= 2) & (100 * n_dup_lines > 30 * n_lines)",
-    "upper_case": "100 * n_upper > 50 * n_letters",
-    "short_words": "10 * word_chars < 20 * n_words",
-    "long_words": "10 * word_chars > 150 * n_words",
-    "stutter": "100 * n_stutter > 30 * n_words",
+    "few_words": lambda m: m["n_words"] < 20,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"],
+    "symbols": lambda m: 100 * m["n_symbols"] > 15 * m["n_words"],
+    "duplicate_lines": lambda m: (m["n_dup_lines"] >= 2) & (100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    "upper_case": lambda m: 100 * m["n_upper"] > 50 * m["n_letters"],
+    "short_words": lambda m: 10 * m["word_chars"] < 20 * m["n_words"],
+    "long_words": lambda m: 10 * m["word_chars"] > 150 * m["n_words"],
+    "stutter": lambda m: 100 * m["n_stutter"] > 30 * m["n_words"],
 }
 #: Policy version -> rules that reject a document.  Versions are never changed, only added.
 POLICIES = {
@@ -54,6 +56,8 @@ def repeated(words: list[bytes]) -> int:
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
+    if n > MANY:
+        return repeated_in_many(words)
     windows = list(zip(*[words[k:] for k in range(WINDOW)]))
     seen: set = set()
     twice = {w for w in windows if w in seen or seen.add(w)} if len(set(windows)) < n else ()
@@ -67,6 +71,29 @@ def repeated(words: list[bytes]) -> int:
     return total
 
 
+def repeated_in_many(words: list[bytes]) -> int:
+    """The same for very long texts, with some 50 bytes a word: words become numbers, windows rows of numbers."""
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+    n = len(ids) - WINDOW + 1
+    # A hash that slides over the numbers proposes equal windows; rows of numbers decide.
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        hashes = hashes * np.uint64(0xC2B2AE3D27D4EB4F) + (mixed[k : k + n] ^ mixed[k : k + n] >> np.uint64(29))
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    chosen = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+    del order, same, hashes, mixed
+    rows = np.stack([ids[chosen + k] for k in range(WINDOW)], 1)
+    _, which, times = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    starts = chosen[times[which.ravel()] > 1]
+    covered = np.zeros(len(ids), bool)
+    for k in range(WINDOW):
+        covered[starts + k] = True
+    return int(covered.sum())
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     if not text:
         return (0,) * len(MEASURES)
@@ -99,7 +126,7 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
         env = dict(zip(MEASURES, rows.T))
         bits = np.zeros(len(rows), np.int64)
         for k, rule in enumerate(RULES.values()):
-            bits |= eval(rule, {"__builtins__": {}}, env).astype(np.int64) << k
+            bits |= rule(env).astype(np.int64) << k
         return [pa.array(c, pa.int64()) for c in (*rows.T, bits)]
 
     return append_columns(docs, text_col, [(n, T.LongType()) for n in (*MEASURES, "failed_bits")], per_batch)

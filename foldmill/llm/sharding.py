@@ -23,6 +23,8 @@ from .common import fresh, without
 
 #: Slots for each shard at least, if no table size is given.
 SLOTS_PER_SHARD = 128
+#: Bytes of input, about, that one written file holds.
+FILE_BYTES = 256 << 20
 
 
 def is_prime(n: int) -> bool:
@@ -72,12 +74,21 @@ def placed(df: DataFrame, key_col: str, shards: list[str], size: int | None = No
     return without(df.withColumns({"slot": slot_of(F.col(key), size)}).join(F.broadcast(table), "slot", "left"), [key])
 
 
-def write_shards(df: DataFrame, path: str, key_col: str, shards: list[str], files_per_shard: int = 1, size: int | None = None) -> None:
-    """Write one folder for each shard, each of at most ``files_per_shard`` files of about equal rows."""
+def write_shards(df: DataFrame, path: str, key_col: str, shards: list[str], files_per_shard: int | None = None, size: int | None = None) -> None:
+    """Write one folder for each shard, each of at most ``files_per_shard`` files of about equal rows.
+
+    By default there are so many that a file holds about ``FILE_BYTES`` of the input, by the plan's estimate.
+    Rows of a shard take turns over its files, so a hot key is spread too, and every file is a task of its own.
+    """
+    if files_per_shard is None:
+        stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files_per_shard = max(1, -(-min(stated, 1 << 60) // (FILE_BYTES * len(shards))))
     out = placed(df, key_col, shards, size)
-    part = fresh(out.columns, "_part")
-    spread = out.withColumns({part: F.col("slot") % files_per_shard})
-    without(spread.repartition(len(shards) * files_per_shard, "shard", part), [part]).write.partitionBy("shard").parquet(path)
+    number, part = fresh(out.columns, "_number"), fresh(out.columns, "_part")
+    numbers = F.create_map(*[F.lit(x) for k, s in enumerate(shards) for x in (s, k)])
+    spread = out.withColumns({number: numbers[F.col("shard")], part: (F.monotonically_increasing_id() % files_per_shard).cast("int")})
+    target = F.col(number) * files_per_shard + F.col(part)
+    without(spread.repartitionById(len(shards) * files_per_shard, target), [number, part]).write.partitionBy("shard").parquet(path)
 
 
 #: The same table, filled turn by turn in a recursion, and the same placement ({n} shards, {m} slots).

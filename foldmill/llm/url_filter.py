@@ -9,8 +9,10 @@ label asks for itself) and each prefix of its path.
 An entry counts from its day on, until the next entry of the same list and key.  Of several entries on one
 day, the one of the largest ``seq`` counts, and of equal ``seq`` the removal.  So a list and key has at
 most one interval a day, which bounds the array of intervals that a key carries, however many entries it
-has; entries are reduced by partial aggregation first.  A hot key among the captures is an ordinary skewed
-join with the small row of its intervals.
+has; entries are reduced by partial aggregation first.  Captures are known by 128 bits of hash while their
+keys are joined, so no URL is repeated for each key.  The intervals are broadcast if their counted size is
+small; else a hot key among the captures is a skewed join with the small row of its intervals, which adaptive
+execution splits.
 
 Cases: a null or unparsable URL has no key and is not blocked; a null fetch day is not blocked; entries
 with a null list, key, day or action are ignored; repeated captures get equal verdicts; empty tables give
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 from .common import fresh, materialize, without
 
 INTERVAL = "array<struct<list_name:string,since:date,until:date>>"
+#: Counted size of the intervals up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 VERDICT = ("blocked", "n_active", "matched_key", "matched_list", "listed_since")
 
 
@@ -79,22 +83,26 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def evaluated(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
+def evaluated(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetch_day", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``captures`` with the verdict as of the fetch day: ``blocked``, ``n_active`` (active entries),
     and of the longest matching key, in code-point order on ties: ``matched_key``, ``matched_list``,
     ``listed_since``."""
     spans = materialize(intervals(entries), "intervals")
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("key") + 64 * (F.size("spans") + 1)), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if size <= broadcast_bytes else spans
     url, day = fresh(captures.columns, "_url"), fresh(captures.columns, "_day")
     rows = captures.withColumns({url: captures[url_col], day: captures[day_col].cast("date")})
     asked = rows.select(F.col(url).alias("u"), F.col(day).alias("d")).where("u is not null and d is not null").distinct()
-    asked = with_keys(asked, "u", "key")
+    ids = {"i": F.xxhash64("u", "d"), "j": F.xxhash64(F.lit(1), "d", "u")}
+    asked = with_keys(asked.withColumns(ids), "u", "key").select("i", "j", "d", "key")
     active = F.filter("spans", lambda x: (x["since"] <= F.col("d")) & (x["until"].isNull() | (F.col("d") < x["until"])))
-    hits = asked.join(spans, "key").select("u", "d", "key", active.alias("active")).where(F.size("active") > 0)
+    hits = asked.join(spans, "key").select("i", "j", "key", active.alias("active")).where(F.size("active") > 0)
     best = F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.get("active", F.lit(0)).alias("x"))).alias("best")
-    verdict = hits.groupBy("u", "d").agg(F.sum(F.size("active")).cast("bigint").alias("n"), best)
-    names = [fresh([*rows.columns, *VERDICT], n) for n in ("_u", "_d", "_n", "_best")]
+    verdict = hits.groupBy("i", "j").agg(F.sum(F.size("active")).cast("bigint").alias("n"), best)
+    names = [fresh([*rows.columns, *VERDICT], n) for n in ("_i", "_j", "_n", "_best")]
     verdict = verdict.toDF(*names[:4])
-    same = rows[url].eqNullSafe(verdict[names[0]]) & rows[day].eqNullSafe(verdict[names[1]])
+    known = rows[url].isNotNull() & rows[day].isNotNull()
+    same = known & (F.xxhash64(rows[url], rows[day]) == verdict[names[0]]) & (F.xxhash64(F.lit(1), rows[day], rows[url]) == verdict[names[1]])
     kept = without(captures, VERDICT).columns
     out = rows.join(verdict, same, "left")
     n, x = F.col(names[2]), F.col(names[3])
