@@ -35,6 +35,19 @@ def test_oracle(spark, duck, same_rows, name):
     same_rows(queries.QUERIES[name](spark, SMALL).toPandas(), duck.sql(queries.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_oracle_on_odd_tables(spark, odd, name):
+    """Nulls, empty and very long texts, repeated rows and clashing columns give the rows that SQL gives."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{odd}/{t}.parquet/*.parquet'")
+    expect = con.sql(queries.ORACLES[name])
+    out = queries.QUERIES[name](spark, odd).select(*expect.columns).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, expect.fetchall()))
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_tables(spark, odd, name):
     out = __spark_entry__.queries()[name](spark, odd).collect()
@@ -70,7 +83,7 @@ def test_pipeline_by_brute_force(spark):
 
     from tokenizers import Tokenizer
 
-    from .brute import contaminated, components, fingerprint
+    from .brute import contaminated, similar_classes
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     after = {}
@@ -81,12 +94,16 @@ def test_pipeline_by_brute_force(spark):
     # Fitted stages: prose stays, junk goes.
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    assert set(after["language_id"]) == {k for k, t in source.items() if any(c.isalpha() for c in t)}
+    gone = {k: t for k, t in source.items() if k not in after["language_id"]}
+    lettered = [t.split() for t in gone.values() if any(c.isalpha() for c in t)]
+    # Of texts with letters only such go as say one word over and over.
+    assert all(len(set(w)) < 0.2 * len(w) for w in lettered) and len(lettered) <= 0.01 * len(source)
+    assert not any(t is None or not any(c.isalpha() for c in t) for t in (r["text"] for r in after["language_id"].values()))
     right = [(k in after["quality_classifier"]) == bool(q) for k, q in labels.items() if k in after["language_id"]]
     assert sum(right) >= 0.97 * len(right)
     # Exact stages.
     before = after["quality_classifier"]
-    classes = components({k: fingerprint(r["text"]) for k, r in before.items()})
+    classes = similar_classes([(k, r["text"]) for k, r in before.items()])
     assert set(after["simhash_dedup"]) == set(classes.values())
     items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert set(after["decontamination"]) == {k for k, r in after["simhash_dedup"].items() if not any(contaminated(r["text"], i) for i in items)}
