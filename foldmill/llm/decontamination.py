@@ -146,15 +146,17 @@ ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
 ), i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
-), it AS (SELECT item_id, len(w) AS nb, unnest(w) AS t, unnest(range(len(w))) AS q FROM i),
+  SELECT row_number() OVER () AS iid, item_id, w FROM (
+    SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+  )
+), it AS (SELECT iid, item_id, len(w) AS nb, unnest(w) AS t, unnest(range(len(w))) AS q FROM i),
 dt AS (SELECT rid, doc_id, len(w) AS na, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
 m AS (
-  SELECT rid, doc_id, na, item_id, nb, least(13, na, nb) AS k, p - q AS diag, q FROM dt JOIN it USING (t)
+  SELECT rid, doc_id, na, iid, item_id, nb, least(13, na, nb) AS k, p - q AS diag, q FROM dt JOIN it USING (t)
   WHERE nb <= na AND nb < 8 OR na >= 8 AND nb >= 8
 ), g AS (
-  SELECT rid, doc_id, na, item_id, nb, k, k - CASE WHEN k >= 13 THEN 2 WHEN k >= 10 THEN 1 ELSE 0 END AS least_equal, diag, list(q) AS qs FROM m
-  GROUP BY rid, doc_id, na, item_id, nb, k, diag HAVING count(*) >= least_equal
+  SELECT rid, doc_id, na, iid, item_id, nb, k, k - CASE WHEN k >= 13 THEN 2 WHEN k >= 10 THEN 1 ELSE 0 END AS least_equal, diag, list(q) AS qs FROM m
+  GROUP BY rid, doc_id, na, iid, item_id, nb, k, diag HAVING count(*) >= least_equal
 ), s AS (
   SELECT *, unnest(range(greatest(0, -diag), least(nb, na - diag) - k + 1)) AS s FROM g
 ), o AS (SELECT rid, doc_id, item_id, k, least_equal, diag + s AS start, len(list_filter(qs, lambda x: x >= s AND x < s + k)) AS matched FROM s)
