@@ -71,6 +71,7 @@ def test_documented_batch(spark):
     from foldmill.sources import resp
 
     (body,) = [r["body"] for r in resp.framed_replies(fold.replies(log)).collect()]
+    # Fixed value: the documented reply to this batch.
     assert body == '*6\r\n+OK\r\n+OK\r\n+OK\r\n+OK\r\n$8\r\n"ababab"\r\n$4\r\nNULL\r\n'
     assert list(map(tuple, fold.state(log).collect())) == [("key1", '"ababab"')]
 
