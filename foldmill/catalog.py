@@ -323,6 +323,15 @@ def table_compact(spark, d):
     return table.stored().select("key", "value", "seq", "is_deleted", "level")
 
 
+@query(f"{RUNS} SELECT key, value FROM versions WHERE vn = 1 AND NOT is_deleted")
+def table_vacuum(spark, d):
+    """All keys of a table reopened after compaction, its former runs and filters removed."""
+    table = stored_table(spark, d)
+    table.compact()
+    table.vacuum()
+    return KeyedTable(spark, table.path).scan()
+
+
 @query(f"{STATE}, {PROBES} SELECT p.key, s.value IS NOT NULL AS found, coalesce(s.value, 'NULL') AS value FROM probes p LEFT JOIN state s ON s.key = p.key")
 def table_multi_get(spark, d):
     """A table reopened from its folder after a log was applied to it in two parts and compacted."""
