@@ -101,7 +101,8 @@ def placed_rows(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
     if not is_scan(df):
         df = materialize(df, name)
     file, row = fresh(df.columns, "_file"), fresh(df.columns, "_row")
-    return df.withColumns({file: F.xxhash64(F.col("_metadata.file_path")), row: F.col("_metadata.row_index")}), file, row
+    place = df.metadataColumn("_metadata")  # not a column of the data by that name
+    return df.withColumns({file: F.xxhash64(place["file_path"]), row: place["row_index"]}), file, row
 
 
 def chosen_rows(rows: DataFrame, places: DataFrame, file: str, row: str, keep: bool = True, limit: int = BITMAP_BYTES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tier one is a compact table, broadcast once, from frequent pre-tokens to their numbers of tokens.  Which
 pre-tokens are frequent is counted over a bounded sample of documents (``SAMPLE`` rows; a parameter that
-changes speed, never a count): each task adds up its own counts, only these are shuffled, and the most
+changes speed, never a count): each task adds up its own counts, those above one are shuffled, and the most
 frequent are kept up to ``TABLE_WORDS`` entries and ``TABLE_BYTES`` bytes.  Tier two encodes a miss by exact
 BPE merging and keeps its count in a bounded cache of the worker.  No pre-token of the documents is shuffled:
 every document is counted where it is read.
@@ -31,9 +31,9 @@ from .common import append_columns, resident, slices, small_batches
 #: Entries of the broadcast table, and bytes of their words, at most.
 TABLE_WORDS, TABLE_BYTES = 65_536, 1 << 20
 #: Documents, about, whose pre-tokens are counted to choose the entries.
-SAMPLE = 4_000
+SAMPLE = 2_000
 #: Distinct pre-tokens that a task of this count holds before it puts them out.
-HELD = 500_000
+HELD = 200_000
 #: Counts in the younger half of a worker's cache; when it is full it becomes the older half.
 CACHE_WORDS = 250_000
 
@@ -126,6 +126,7 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text", sample: int = S
 
 
 def tallied(held: Tally) -> pa.RecordBatch:
+    held = {w: n for w, n in held.items() if n > 1}
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "times"])
 
 

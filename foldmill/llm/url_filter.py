@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import fresh, materialize, without
 
 INTERVAL = "array<struct<list_name:string,since:date,until:date>>"
-#: Counted size of the intervals up to which they are broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Counted size of the intervals up to which they are broadcast: near Spark's own bound, as lists grow with the web.
+BROADCAST_BYTES = 8 << 20
 VERDICT = ("blocked", "n_active", "matched_key", "matched_list", "listed_since")
 
 
@@ -88,7 +88,8 @@ def evaluated(captures: DataFrame, entries: DataFrame, url_col: str = "url", day
     and of the longest matching key, in code-point order on ties: ``matched_key``, ``matched_list``,
     ``listed_since``."""
     spans = materialize(intervals(entries), "intervals")
-    size = spans.agg(F.coalesce(F.sum(F.octet_length("key") + 64 * (F.size("spans") + 1)), F.lit(0))).first()[0]
+    # A broadcast row was measured at some 210 bytes with one interval and a key of 30.
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("key") + 96 * (F.size("spans") + 1)), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if size <= broadcast_bytes else spans
     url, day = fresh(captures.columns, "_url"), fresh(captures.columns, "_day")
     rows = captures.withColumns({url: captures[url_col], day: captures[day_col].cast("date")})

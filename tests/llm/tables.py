@@ -26,7 +26,7 @@ DOCS = [
     (-1, "A\nA\nA\nB\n", "en", "b", 0),
 ]
 DOCS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = ("score", "fp", "seed", "slot", "kept", "root", "h", "p", "a", "n_tokens", "lang_pred", "predicted", "_row_hash", "key")
+CLASH = ("score", "fp", "seed", "slot", "kept", "root", "h", "p", "a", "n_tokens", "lang_pred", "predicted", "_row_hash", "key", "_metadata", "_file", "file", "row")
 LABELS = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (6, 0, 0), (None, 1, 0), (99, 1, 1), (4, None, None), (8, 7, 0), (12, 1, 0)]
 BENCHMARK = [(1, BENCH), (1, BENCH), (2, None), (3, ""), (None, "too short an item"), (4, PROSE)]
 PAGES = [
