@@ -32,7 +32,7 @@ from .common import append_columns, resident
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words in the younger half of a worker's cache; when it is full it becomes the older half.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 64_000
 #: Pair verdicts of the younger half (9 bytes each), and of those among them that are not merged in yet.
 PAIRS, RECENT = 1 << 20, 1 << 15
 #: Bytes from which a word is merged exactly without a proposal.

@@ -8,7 +8,6 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
 
 #: Characters outside these ranges may have another class in another Unicode version.  Texts with such
 #: characters are split by the tokenizer library itself, so that both follow one version.
@@ -150,7 +149,9 @@ def load(path: str) -> dict:
         return json.load(f)
 
 
-@lru_cache(maxsize=4)
-def library(path: str) -> Tokenizer:
+@lru_cache(maxsize=1)
+def library(path: str):
     """The public library's tokenizer, for splitting texts with unsettled characters and for tests."""
+    from tokenizers import Tokenizer  # only workers that need it hold it
+
     return Tokenizer.from_file(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -158,6 +159,15 @@ def resident(name, make: Callable[[], object]):
     return _resident[1]
 
 
+def trim() -> None:
+    """Give memory that this worker process has freed back to the system; at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Have Spark hand over batches of ``ARROW_BYTES``, unless the session asks for a size of its own."""
     if spark.conf.get(ARROW_CONF, ARROW_DEFAULT) == ARROW_DEFAULT:
@@ -212,6 +222,6 @@ def append_columns(
             arrays = [batch.column(i) for i in range(batch.num_columns) if not (carrier and i == position)]
             labels = [batch.schema.names[i] for i in range(batch.num_columns) if not (carrier and i == position)]
             yield pa.RecordBatch.from_arrays(arrays + per_batch(texts), names=labels + names)
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return kept.mapInArrow(run, schema)

@@ -41,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, chosen_rows, materialize, placed_rows, release, without
+from .common import append_columns, chosen_rows, materialize, placed_rows, release, trim, without
 
 #: Variants that a bucket owns on average at most, and how many of them a task holds at once.
-BUCKET_VARIANTS, AT_ONCE = 1 << 23, 1 << 20
+BUCKET_VARIANTS, AT_ONCE = 1 << 23, 1 << 18
 #: Fingerprints that are sent at once at most, and (bucket, fingerprint) pairs.
-CHUNK, PAIRS = 1 << 15, 1 << 20
+CHUNK, PAIRS = 1 << 15, 1 << 18
 LANES = np.uint64(0x0101010101010101)
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
@@ -366,6 +366,7 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, col: str = "fp") -> Data
         more = max(0, int(np.ceil(np.log2(max(1, total / AT_ONCE)))))
         parts = [bucket_links(fps, bucket | part << k, radius, k, more) for part in range(1 << more)]
         u, v = (np.concatenate([x[side] for x in parts]) for side in (0, 1))
+        trim()
         return pa.table({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
 
     sent = fps.select(F.col(col).alias("fp")).mapInArrow(emit, "bucket bigint, fps binary")
