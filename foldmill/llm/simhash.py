@@ -21,6 +21,11 @@ one that shares bands with most others, as an original does among its copies.  W
 classes is compared with the next centre, until a round links nothing.  So the number of comparisons grows with
 the number of sets, not with the square of a group.
 
+Bands and centres may miss a link, so an exact join by prefixes follows (``rest``).  With all shingles in one
+order, two sets of some similarity have a shingle in common among the first ones of both.  These are shuffled, and
+sets of different classes that meet at one are compared, if their sizes, the shingle's places and a bound by bit
+sketches allow the similarity.  The most frequent shingles of a sample come last, which changes speed and no result.
+
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle has one shingle of all its words; repeated rows each stay, with the same class; a
 null doc_id is kept, and is a class's id only if no document of it has one; an empty table gives an
@@ -30,6 +35,7 @@ empty result; texts are read whole; other columns are ignored, whatever their na
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -41,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, chosen_rows, materialize, placed_rows, release, trim, without
+from .common import append_columns, chosen_rows, materialize, placed_rows, release, slices, trim, without
 
 #: Variants that a bucket owns on average at most, and how many of them a task holds at once.
 BUCKET_VARIANTS, AT_ONCE = 1 << 23, 1 << 18
@@ -136,6 +142,10 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.array(keys, np.uint64)
 
 
+def set_name(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64))
+
+
 def with_sets(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """``docs`` with ``fp``, ``set_id`` (a hash of the shingle set of ``text``; null if it is empty),
     ``set_size`` and ``band_keys``; all in one pass, as each pass has Python workers of its own."""
@@ -146,7 +156,7 @@ def with_sets(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
         ids, keys = [None] * len(sets), [None] * len(sets)
         if full:
             for k, row in zip(full, band_keys([sets[k] for k in full]).view(np.int64)):
-                ids[k], keys[k] = int(np.uint64(xxhash.xxh64_intdigest(sets[k].tobytes())).astype(np.int64)), row
+                ids[k], keys[k] = set_name(sets[k]), row
         fps = pa.array(fingerprint_batch(texts, width, seed).view(np.int64), pa.int64())
         return [fps, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
 
@@ -154,13 +164,177 @@ def with_sets(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return append_columns(docs, "text", added, per_batch)
 
 
+#: Prefix entries that a bucket of ``rest`` has on average at most, that are sent at once, and pairs looked at at once.
+BUCKET_ENTRIES, SENT_AT_ONCE, PAIRS_AT_ONCE = 1 << 17, 1 << 15, 1 << 17
+#: One set of so many has its shingles counted, and the frequent shingles that come last in prefixes at most.
+SAMPLE, FREQUENT = 16, 1 << 18
+ENTRY = np.dtype([("set_id", "<i8"), ("root", "<i8"), ("n", "<i4"), ("place", "<i4"), ("gram", "<i8")])
+
+
+def ratio(similar: float) -> tuple[int, int]:
+    """The similarity as a fraction, exact as it is written."""
+    return Fraction(str(similar)).as_integer_ratio()
+
+
+def prefix(grams: np.ndarray, frequent: np.ndarray, order: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The first shingles of a set, by hash, those of ``frequent`` (sorted) last and by ``order``.
+
+    A set of similarity p / q or more has p / q of these shingles at least, so one of all but that many, and one.
+    """
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+        often = frequent[at] == grams
+        grams = np.r_[grams[~often], grams[often][np.argsort(order[at[often]])]]
+    return grams[: len(grams) - -(-p * len(grams) // q) + 1]
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their lowest bits, one bit each, two or more for each shingle: sets that differ
+    in d shingles have sketches that differ in d bits at most."""
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, total: int, p: int, q: int) -> bool:
+    """Whether sketches allow the similarity of two sets of ``total`` shingles; the wider one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (p + q) * int(np.bitwise_count(x ^ y).sum()) <= (q - p) * total
+
+
+def met_pairs(entries: np.ndarray, p: int, q: int) -> Iterator[np.ndarray]:
+    """Indices (i, j) into ``entries`` of sets in different classes that a shingle's places let be similar."""
+    rank = np.lexsort((entries["n"], entries["root"], entries["gram"]))
+    gram, root = entries["gram"][rank], entries["root"][rank]
+    if not len(rank):
+        return
+    # The largest class of each shingle: its members are compared with the others only.
+    new = np.r_[True, gram[1:] != gram[:-1]]
+    runs = np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]])
+    lengths = np.diff(np.r_[runs, len(rank)])
+    group = np.cumsum(new) - 1
+    best = np.lexsort((lengths, group[runs]))
+    best = best[np.flatnonzero(np.r_[np.diff(group[runs][best]) != 0, True])]
+    main = root[runs[best]]
+    mixed = lengths[best] < np.bincount(group)
+    stay = mixed[group]
+    rank, group = rank[stay], group[stay]
+    rank = rank[np.lexsort((entries["n"][rank], group))]
+    e = entries[rank]
+    minor = e["root"] != main[group]
+    n = e["n"].astype(np.int64)
+    # Partners of an entry: a stretch of its shingle's entries, which are in order of size.
+    key = group << 32 | n
+    first = np.searchsorted(key, group << 32 | -(-p * n // q))
+    last = np.searchsorted(key, group << 32 | np.minimum(q * n // p, (1 << 32) - 1), "right")
+    count = np.where(minor, last - first, 0)
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(e):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
+        total = count[at:stop]
+        if total.any():
+            i = np.repeat(np.arange(at, stop), total)
+            j = np.arange(len(i)) - np.repeat(ends[at:stop] - total - before, total) + first[i]
+            both = -(-p * (n[i] + n[j]) // (p + q))
+            fit = (e["root"][i] != e["root"][j]) & (~minor[j] | (i < j))
+            fit &= (e["place"][i] <= n[i] - both) & (e["place"][j] <= n[j] - both)
+            yield np.stack([rank[i[fit]], rank[j[fit]]])
+        at = stop
+
+
+def rest(only: DataFrame, sets: DataFrame, linked: DataFrame, similar: float, seed: int) -> DataFrame:
+    """All pairs (set_a, set_b, u, v) of ``sets`` in the different classes u and v of ``linked`` that may have the
+    similarity, and few others; the arguments are those of ``similar_classes``."""
+    p, q = ratio(similar)
+    total = sets.agg(F.sum(F.expr(f"set_size - ceil({p} * set_size / {q}) + 1"))).first()[0]
+    buckets = -(-int(total or 0) // BUCKET_ENTRIES) or 1
+    places = sets.select("file", "row")
+    texts = only.select("file", "row", "text")
+
+    def grams_of(texts):
+        return [pa.array([shingle_set(t, seed).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+
+    few = places.where(F.pmod(F.xxhash64("file", "row"), F.lit(SAMPLE)) == 0)
+    grams = append_columns(chosen_rows(texts, few, "file", "row"), "text", [("grams", T.ArrayType(T.LongType()))], grams_of)
+    often = grams.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(FREQUENT)
+    often = np.array([r["gram"] for r in often.collect()], np.int64).view(np.uint64)
+    by_hash = np.argsort(often)
+    frequent, order = often[by_hash], -by_hash.astype(np.int32)
+
+    def prefixes_of(texts):
+        found = [shingle_set(t, seed) for t in texts]
+        firsts = pa.array([prefix(x, frequent, order, p, q).tobytes() for x in found], pa.binary())
+        return [pa.array([set_name(x) for x in found], pa.int64()), firsts, pa.array([sketch(x).tobytes() for x in found], pa.binary())]
+
+    added = [("set_id", T.LongType()), ("grams", T.BinaryType()), ("sketch", T.BinaryType())]
+    prefixes = materialize(append_columns(chosen_rows(texts, places, "file", "row"), "text", added, prefixes_of).drop("text", "file", "row"), "prefixes")
+    rooted = sets.select("set_id", "set_size", "fp").join(linked.withColumnRenamed("u", "fp"), "fp", "left")
+    rooted = prefixes.select("set_id", "grams").join(rooted, "set_id").select("set_id", F.coalesce("root", "fp").alias("root"), "set_size", "grams")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
+            ids, roots, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            grams = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            lengths = np.array([len(x) for x in grams])
+            ends = np.cumsum(lengths)
+            at = 0
+            while at < len(grams):
+                before = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + SENT_AT_ONCE, "right")))
+                part = slice(at, stop)
+                entries = np.empty(ends[stop - 1] - before, ENTRY)
+                entries["gram"] = np.concatenate(grams[part])
+                entries["place"] = np.arange(len(entries)) - np.repeat(ends[part] - lengths[part] - before, lengths[part])
+                for name, values in (("set_id", ids), ("root", roots), ("n", sizes)):
+                    entries[name] = np.repeat(values[part], lengths[part])
+                bucket = (entries["gram"] & 0xFFFFFFFF) % buckets
+                by_bucket = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[by_bucket]) != 0])
+                blobs = [x.tobytes() for x in np.split(entries[by_bucket], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[by_bucket][cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+                at = stop
+        trim()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for batch in batches for x in batch.column("entries").to_pylist()]
+        entries = np.frombuffer(b"".join(blobs), ENTRY)
+        del blobs
+        for i, j in met_pairs(entries, p, q):
+            a, b = entries[i], entries[j]
+            swap = a["set_id"] > b["set_id"]
+            a[swap], b[swap] = b[swap], a[swap]
+            kept = np.unique(np.stack([a[x].astype(np.int64) for x in ("set_id", "root", "n")] + [b[x].astype(np.int64) for x in ("set_id", "root", "n")]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kept], names=["set_a", "u", "n", "set_b", "v", "m"])
+        trim()
+
+    sent = rooted.mapInArrow(emit, "bucket bigint, entries binary")
+    pairs = materialize(sent.groupBy("bucket").applyInArrow(meet, "set_a long, u long, n long, set_b long, v long, m long").distinct(), "met")
+    for side in "ab":
+        pairs = pairs.join(prefixes.select(F.col("set_id").alias(f"set_{side}"), F.col("sketch").alias(f"sketch_{side}")), f"set_{side}")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v, "<u8") for v in batch.column(k).to_pylist()] for k in (4, 5))
+            total = batch.column(6).to_pylist()
+            yield batch.select(range(4)).filter(pa.array([may_be_alike(*z, p, q) for z in zip(x, y, total)], pa.bool_()))
+        trim()
+
+    pairs = pairs.select("set_a", "set_b", "u", "v", "sketch_a", "sketch_b", (F.col("n") + F.col("m")).alias("total"))
+    return pairs.mapInArrow(near, "set_a long, set_b long, u long, v long")
+
+
 def alike(pairs: DataFrame, only: DataFrame, sets: DataFrame, similar: float, seed: int) -> DataFrame:
     """The ``pairs`` (set_a, set_b, u, v) whose sets have a Jaccard similarity of ``similar`` or more, as (u, v).
 
     ``sets`` (set_id, file, row) names a row of ``only`` (text, file, row) for each set.  Only the texts that
     are compared are cut into shingles, where they lie; their shingles' hashes are shuffled, not they.
     """
-    percent = round(100 * similar)
+    p, q = ratio(similar)
     need = pairs.select(F.col("set_a").alias("set_id")).union(pairs.select("set_b")).distinct()
     places = materialize(sets.select("set_id", "file", "row").join(need, "set_id"), "compared")
 
@@ -174,7 +348,7 @@ def alike(pairs: DataFrame, only: DataFrame, sets: DataFrame, similar: float, se
     for side in "ab":
         pairs = pairs.join(grams.select(F.col("set_id").alias(f"set_{side}"), F.col("grams").alias(f"grams_{side}")), f"set_{side}")
     pairs = pairs.withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
-    links = materialize(pairs.where(f"100 * both >= {percent} * (size(grams_a) + size(grams_b) - both)").select("u", "v").distinct(), "links")
+    links = materialize(pairs.where(f"{q} * both >= {p} * (size(grams_a) + size(grams_b) - both)").select("u", "v").distinct(), "links")
     release(grams)
     return links
 
@@ -183,7 +357,7 @@ def similar_classes(only: DataFrame, rows: DataFrame, linked: DataFrame, similar
     """(u, root) of fingerprints whose class is not their own, after texts of a Jaccard similarity of
     ``similar`` or more are linked as well.  ``only`` has text, file and row; ``rows`` has file, row, fp and the
     columns of ``with_sets``; ``linked`` (u, root) are the classes so far."""
-    percent = round(100 * similar)
+    p, q = ratio(similar)
     known = rows.where("set_id is not null")
     # One row for each set; its band keys are read where they lie.
     first = known.groupBy("set_id").agg(F.min(F.struct("file", "row")).alias("x")).select("x.file", "x.row")
@@ -202,7 +376,7 @@ def similar_classes(only: DataFrame, rows: DataFrame, linked: DataFrame, similar
         release(done)
     used, compared = None, None
     # Sets of similarity s differ in size by the factor s at most.
-    fits = f"root <> v and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    fits = f"root <> v and {q} * least(n, m) >= {p} * greatest(n, m)"
     while True:
         rooted = materialize(keys.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("key", "set_id", "n", "rank", F.coalesce("root", "fp").alias("root")), "rooted")
         left = rooted if used is None else rooted.join(used, ["key", "set_id"], "left_anti")
@@ -216,12 +390,18 @@ def similar_classes(only: DataFrame, rows: DataFrame, linked: DataFrame, similar
         links = alike(pairs, only, sets, similar, seed)
         release(rooted)
         if links.isEmpty():
-            return linked
+            break
         linked = components(linked.withColumnRenamed("root", "v").unionByName(links))
         now = centres.select("key", F.col("c").alias("set_id"))
         used = now if used is None else used.unionByName(now)
         now = pairs.select("set_a", "set_b")
         compared = now if compared is None else compared.unionByName(now)
+    compared = pairs if compared is None else compared.unionByName(pairs.select("set_a", "set_b"))
+    pairs = rest(only, sets, linked, similar, seed)
+    for x, y in (("set_a", "set_b"), ("set_b", "set_a")):
+        pairs = pairs.join(compared.select(F.col(x).alias("set_a"), F.col(y).alias("set_b")), ["set_a", "set_b"], "left_anti")
+    links = alike(materialize(pairs, "pairs"), only, sets, similar, seed)
+    return components(linked.withColumnRenamed("root", "v").unionByName(links))
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:

@@ -307,6 +307,58 @@ def test_similar_texts_on_both_sides_of_the_bound(spark):
     assert classes[54] == 0 and classes[104] == 103 and classes[105] == 105
 
 
+def thirteen_words(k):
+    """Two texts of nine shingles, eight of them in both: a similarity of 0.8."""
+    words = [f"w{k}_{j}" for j in range(13)]
+    return words, " ".join(words), " ".join(words[:12] + [f"x{k}"])
+
+
+def test_similar_texts_that_share_no_band_or_no_centre(spark):
+    """Pair 22911 shares no band; the one band of pair 414 has a third text as centre, which resembles neither."""
+    words, a, b = thirteen_words(414)
+    third = " ".join(words[:12] + [f"y13_{i}" for i in range(6)])
+    keys = simhash.band_keys([simhash.shingle_set(t) for t in (a, b, third)])
+    assert all(((keys[i] == keys[j]) == (keys[0] == keys[1])).all() for i, j in ((0, 2), (1, 2))) and (keys[0] == keys[1]).sum() == 1
+    _, c, d = thirteen_words(22911)
+    assert not np.equal(*simhash.band_keys([simhash.shingle_set(t) for t in (c, d)])).any()
+    docs = list(enumerate([a, b, third, c, d]))
+    classes = similar_classes(docs)
+    assert classes == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    kept = simhash.deduplicated(spark.createDataFrame(docs, "doc_id int, text string"), similar=0.8).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("similar", [0.5, 0.8, 0.855, 1])
+@pytest.mark.parametrize("often", [0, 40])
+def test_prefixes_meet_for_all_similar_sets(similar, often, monkeypatch):
+    """Every pair of the similarity in different classes, whatever shingles come last; pairs of one class never."""
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    rnd = random.Random(often)
+    p, q = simhash.ratio(similar)
+    sets = []
+    for _ in range(30):
+        base = rnd.sample(range(100), rnd.randint(1, 25))
+        for _ in range(6):
+            changed = set(base)
+            for _ in range(rnd.randint(0, 3)):
+                changed ^= {rnd.randrange(100)}
+            sets.append(np.array(sorted(changed or {0}), np.uint64))
+    frequent = np.array(sorted(rnd.sample(range(100), often)), np.uint64)
+    order = np.array(rnd.sample(range(often), often), np.int64)
+    rows, roots = [], [rnd.randrange(20) for _ in sets]
+    for k, x in enumerate(sets):
+        rows += [(k, roots[k], len(x), place, gram) for place, gram in enumerate(simhash.prefix(x, frequent, order, p, q))]
+    entries = np.array(rows, simhash.ENTRY)
+    met = set()
+    for i, j in simhash.met_pairs(entries, p, q):
+        met |= {tuple(sorted(x)) for x in zip(entries["set_id"][i].tolist(), entries["set_id"][j].tolist())}
+    plain = [set(x.tolist()) for x in sets]
+    alike = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if roots[i] != roots[j] and q * len(plain[i] & plain[j]) >= p * len(plain[i] | plain[j])}
+    sketches = [simhash.sketch(x * np.uint64(0x9E3779B97F4A7C15)) for x in sets]
+    assert all(simhash.may_be_alike(sketches[i], sketches[j], len(sets[i]) + len(sets[j]), p, q) for i, j in alike)
+    assert alike and alike <= met and all(roots[i] != roots[j] for i, j in met)
+
+
 def test_components_of_long_chains(spark):
     links = [(k, k - 1) for k in range(1, 200)] + [(1000 + k, 1000) for k in range(1, 300)] + [(-5, 7), (3, 3)]
     found = simhash.components(spark.createDataFrame(links, "u bigint, v bigint"))
