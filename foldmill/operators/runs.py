@@ -141,16 +141,20 @@ def slot_of(key: Column, cuts: list[str]) -> Column:
     return before + F.size(F.filter(F.slice(every, before + 1, F.lit(step)), lambda c: c <= key))
 
 
-def cuts_of(catalog: DataFrame, slots: int = SLOTS, bounds: int = BOUNDS) -> list[str]:
-    """Keys that cut the runs' bounds into about equal parts, from ``bounds`` bounds at most (by hash).
+def even_cuts(keys: DataFrame, slots: int = SLOTS, bounds: int = BOUNDS) -> list[str]:
+    """Keys that cut ``keys`` (c) into about equal parts, from ``bounds`` of them at most (by hash).
 
-    Any cuts give the same candidates; even ones make their search cheap.
+    Any cuts give the same results; even ones make their search cheap.
     """
-    both = catalog.select(F.explode(F.array("min_key", "max_key")).alias("c")).where("c is not null").distinct()
-    some = sorted((r["c"] for r in both.orderBy(F.xxhash64("c"), "c").limit(bounds).collect()), key=str.encode)
+    some = sorted((r["c"] for r in keys.where("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(bounds).collect()), key=str.encode)
     return [some[k * len(some) // slots] for k in range(1, slots)] if len(some) >= slots else some
 
 
+def cuts_of(catalog: DataFrame, slots: int = SLOTS, bounds: int = BOUNDS) -> list[str]:
+    """Keys that cut the runs' bounds into about equal parts."""
+    return even_cuts(catalog.select(F.explode(F.array("min_key", "max_key")).alias("c")), slots, bounds)
+
+
 def listed(catalog: DataFrame, cuts: list[str], columns: list[str]) -> DataFrame:
     """``catalog`` once for each slot that a run's range spans, with ``slot`` and ``first_slot``."""
     low, high = slot_of(F.col("min_key"), cuts), slot_of(F.col("max_key"), cuts)
@@ -171,6 +175,35 @@ def candidates(probes: DataFrame, catalog: DataFrame, limit: int = CATALOG_BYTES
     return asked.join(F.broadcast(spans) if size <= limit else spans, "slot").where("key between min_key and max_key").select("key", "level", "run_seq")
 
 
+def summed(points: DataFrame) -> DataFrame:
+    """``points`` (key, kind, run_seq, level, add) with ``upto``, the sum of ``add`` up to each in that order.
+
+    Slots of the key space are summed alone; what lies before a slot is the sum of few rows.
+    """
+    cuts = even_cuts(points.select(F.col("key").alias("c")))
+    rows = points.withColumn("slot", slot_of(F.col("key"), cuts))
+    past = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # one row a slot
+    tops = rows.groupBy("slot").agg(F.sum("add").alias("own")).select("slot", F.coalesce(F.sum("own").over(past), F.lit(0)).alias("top"))
+    inner = Window.partitionBy("slot").orderBy("key", "kind", "run_seq", "level").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("inner", F.sum("add").over(inner)).join(F.broadcast(tops), "slot").withColumn("upto", F.col("top") + F.col("inner"))
+
+
+def bounds_of(catalog: DataFrame, end: int) -> DataFrame:
+    """The runs' lowest keys (kind 0), which add 1, and highest keys (kind 2), which add ``end``."""
+    known = catalog.where("min_key is not null").select("run_seq", F.col("level").cast("int").alias("level"), "min_key", "max_key")
+    low = known.select(F.col("min_key").alias("key"), F.lit(0).alias("kind"), "run_seq", "level", F.lit(1).alias("add"))
+    return low.unionByName(known.select(F.col("max_key").alias("key"), F.lit(2).alias("kind"), "run_seq", "level", F.lit(end).alias("add")))
+
+
+def counted(probes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(key, n_runs): how many runs' key ranges hold each probe; what ``candidates`` would list is not listed.
+
+    In order of key, a run counts from its lowest key on and no longer after its highest: one running sum.
+    """
+    asked = probes.select("key", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("run_seq"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("add"))
+    return summed(bounds_of(catalog, -1).unionByName(asked)).where("kind = 1").select("key", F.col("upto").alias("n_runs"))
+
+
 def overlapping(catalog: DataFrame) -> DataFrame:
     """(run_a, run_b): pairs of runs, a before b, whose key ranges meet; for planning, on the catalog only.
 

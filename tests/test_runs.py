@@ -86,6 +86,26 @@ def test_zone_map_candidates(spark, seed):
     assert "NestedLoop" not in plan._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_are_counted_without_listing_them(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("aAé一\U0001f600z") for _ in range(rnd.randint(0, 3)))
+    catalog = [(0, k, *sorted([word(), word()], key=str.encode)) for k in range(40)] + [(1, 40, None, None)]
+    probes = [None, *sorted({word() for _ in range(100)})]
+    frame_ = spark.createDataFrame(catalog, "level int, run_seq long, min_key string, max_key string")
+    found = runs.counted(spark.createDataFrame([(p,) for p in probes], "key string"), frame_)
+    expect = {p: sum(lo is not None and lo.encode() <= p.encode() <= hi.encode() for _, _, lo, hi in catalog) if p is not None else 0 for p in probes}
+    assert dict(map(tuple, found.collect())) == expect and found.count() == len(probes)
+    assert runs.counted(spark.createDataFrame([("a",)], "key string"), frame_.limit(0)).collect() == [("a", 0)]
+
+
+def test_zone_map_lists_no_candidates(spark):
+    from foldmill import catalog
+
+    plan = catalog.zone_map_prune(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "NestedLoop" not in plan
+
+
 def test_keys_with_one_first_character_spread_over_slots(spark):
     """Runs of disjoint ranges whose keys all start alike: a probe meets few runs, not all."""
     catalog = spark.range(1000).selectExpr("1 as level", "id as run_seq", "printf('u%06d', id * 10) as min_key", "printf('u%06d', id * 10 + 9) as max_key")
