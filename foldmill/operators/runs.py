@@ -204,15 +204,28 @@ def counted(probes: DataFrame, catalog: DataFrame) -> DataFrame:
     return summed(bounds_of(catalog, -1).unionByName(asked)).where("kind = 1").select("key", F.col("upto").alias("n_runs"))
 
 
+#: Neighbours of a run that are listed from one row, and pairs that one task lists, about.
+NEIGHBOURS, PAIRS = 4096, 2_000_000
+
+
 def overlapping(catalog: DataFrame) -> DataFrame:
     """(run_a, run_b): pairs of runs, a before b, whose key ranges meet; for planning, on the catalog only.
 
-    Two runs meet in the first slot that both span, so each pair comes up once.
+    In order of lowest key, the later runs that meet a run are its next neighbours, those which start up to its highest
+    key: each pair is listed once, and nothing else is.  Neighbours are dealt in pieces, as runs that span all keys
+    meet all others.
     """
-    spans = listed(catalog, cuts_of(catalog), ["run_seq", "min_key", "max_key"])
-    a, b = (spans.select("slot", *[F.col(c).alias(f"{c}_{side}") for c in ("run_seq", "min_key", "max_key", "first_slot")]) for side in "ab")
-    met = a.join(b, "slot").where("run_seq_a < run_seq_b and slot = greatest(first_slot_a, first_slot_b) and min_key_a <= max_key_b and min_key_b <= max_key_a")
-    return met.select(F.col("run_seq_a").alias("run_a"), F.col("run_seq_b").alias("run_b"))
+    at = summed(bounds_of(catalog, 0))
+    first = at.where("kind = 0").select("run_seq", "level", F.col("upto").alias("place"))
+    last = at.where("kind = 2").select("run_seq", "level", F.col("upto").alias("last"))
+    spans = first.join(last, ["run_seq", "level"]).where("last > place").select("run_seq", "place", "last")
+    n_runs, n_pairs = first.count(), spans.agg(F.coalesce(F.sum(F.expr("last - place")), F.lit(0))).first()[0]
+    pieces = spans.select("run_seq", "last", F.explode(F.expr(f"sequence(place + 1, last, {NEIGHBOURS}L)")).alias("low"))
+    pieces = pieces.repartition(max(1, -(-n_pairs // PAIRS)), "low", "run_seq")
+    each = pieces.select("run_seq", F.explode(F.expr(f"sequence(low, least(last, low + {NEIGHBOURS - 1}))")).alias("place"))
+    other = first.select("place", F.col("run_seq").alias("other"))
+    met = each.join(F.broadcast(other) if n_runs * 16 <= CATALOG_BYTES else other, "place").where("run_seq <> other")
+    return met.select(F.least("run_seq", "other").alias("run_a"), F.greatest("run_seq", "other").alias("run_b"))
 
 
 def budgets(spark: SparkSession) -> DataFrame:

@@ -117,6 +117,15 @@ def test_keys_with_one_first_character_spread_over_slots(spark):
     assert found.count() == 10_000 and found.where("cast(substring(key, 2) as int) div 10 <> run_seq").count() == 0
 
 
+def test_pairs_of_runs_that_span_all_keys_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(runs, "NEIGHBOURS", 16, raising=False)
+    monkeypatch.setattr(runs, "PAIRS", 1000, raising=False)
+    catalog = spark.range(150).selectExpr("cast(id % 2 as int) as level", "id as run_seq", "if(id % 3 = 0, 'a', printf('a%03d', id)) as min_key", "'z' as max_key")
+    found = runs.overlapping(catalog)
+    assert found.count() == found.distinct().count() == 150 * 149 // 2 and found.where("run_a >= run_b").count() == 0
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 4000
+
+
 def test_rotation_counts_what_a_table_holds(spark):
     """Runs as a table of at most 60 bytes makes them; overwrites count by the difference; tablets are apart."""
     rnd = random.Random(5)
