@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import bloom
+
 #: Fixed values of the level policy.
 BASE_BYTES, RATIO, LEVELS, L0_RUNS = 262_144, 3, 7, 4
 
@@ -175,6 +177,21 @@ def candidates(probes: DataFrame, catalog: DataFrame, limit: int = CATALOG_BYTES
     return asked.join(F.broadcast(spans) if size <= limit else spans, "slot").where("key between min_key and max_key").select("key", "level", "run_seq")
 
 
+def may_hold(probes: DataFrame, keys: DataFrame, catalog: DataFrame, filters: DataFrame, path: str) -> DataFrame:
+    """(run_seq, key, present) of the runs whose range and filter (packed, written to ``path``) allow a probe, and
+    whether the run's ``keys`` (run_seq, key) have it.
+
+    Filters are dealt into groups; probes meet the groups whose ranges hold them, and all runs of a group at once.
+    The runs that have a probe are joined to it before, not to what is found: false positives are never shuffled.
+    """
+    groups = bloom.store(filters, catalog, "run_seq", path)
+    asked = candidates(probes.where("key is not null"), groups).select("key", F.col("run_seq").alias("file"))
+    placed = catalog.sparkSession.read.schema("run bigint").parquet(path).select(F.col("run").alias("run_seq"), F.input_file_name().alias("file"))
+    held = keys.join(probes.select("key").distinct(), "key", "left_semi").join(placed, "run_seq")
+    held = held.groupBy("file", "key").agg(F.collect_list("run_seq").alias("held"))
+    return bloom.probe_stored(asked.join(held, ["file", "key"], "left").select("file", "key", "held"), "run_seq")
+
+
 def summed(points: DataFrame) -> DataFrame:
     """``points`` (key, kind, run_seq, level, add) with ``upto``, the sum of ``add`` up to each in that order.
 

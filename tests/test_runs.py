@@ -163,6 +163,33 @@ def test_bloom(spark, tmp_path):
     assert [tuple(r) for r in size.collect()] == [(1024, 3), (9585, 6), (1 << 23, 1)]
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 2000])
+def test_runs_that_may_hold_a_probe(spark, tmp_path, monkeypatch, group_bytes):
+    """Runs of one shape and of many, wide and narrow, in one file and in several: as range and filter, pair by pair."""
+    monkeypatch.setattr(bloom, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(bloom, "PROBES", 150)
+    rnd = random.Random(8)
+    sizes = [20] * 70 + [rnd.randint(1, 60) for _ in range(20)]
+    own = [(r, f"é{k}") for r, n in enumerate(sizes) for k in rnd.sample(range(400) if r % 3 else range(r * 4, r * 4 + 70), n)]
+    keys = spark.createDataFrame(own, "run_seq long, key string")
+    catalog = runs.stats(keys.selectExpr("0 as level", "run_seq", "key", "cast(null as string) as value"))
+    filters = bloom.packed(bloom.build(keys, "run_seq"), "run_seq").localCheckpoint()
+    probes = spark.createDataFrame([(None,), ("",), ("z",), *[(f"é{k}",) for k in range(0, 900, 2)]], "key string")
+    found = runs.may_hold(probes, keys, catalog, filters, f"file://{tmp_path}/groups")
+    hits = bloom.probe(runs.candidates(probes, catalog), filters, "run_seq").collect()
+    assert sorted(map(tuple, found.collect())) == sorted((r, k, (r, k) in set(own)) for r, k in hits)
+    assert (len(list((tmp_path / "groups").glob("part-*"))) > 1) == (group_bytes == 2000)
+    assert runs.may_hold(probes.limit(0), keys, catalog, filters, f"file://{tmp_path}/none").collect() == []
+    assert runs.may_hold(probes, keys.limit(0), catalog.limit(0), filters.limit(0), f"file://{tmp_path}/no_runs").collect() == []
+
+
+def test_found_pairs_meet_no_join(spark):
+    from foldmill import catalog
+
+    plan = catalog.bloom_probe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
 def test_sorted_write(spark, tmp_path):
     rows = spark.range(5000).select(F.concat(F.lit("k"), F.col("id") % 977, F.lit("_"), "id").alias("key"), F.lit("v").alias("value"))
     runs.write_sorted(rows, str(tmp_path / "run"), files=4)
