@@ -99,15 +99,28 @@ def parse(text: str | None) -> list[tuple[str | None, str | None, str | None, st
     return out
 
 
+#: Commands that a parser holds before it puts them out, but for those of one request.
+ROWS = 10_000
+
+
+def table(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=RESP_OUT.names)
+
+
 def read(requests: DataFrame) -> DataFrame:
     """(req_id, idx, op, key, value, error) of ``requests`` (req_id, body), idx counting from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, k, *c) for r, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, c in enumerate(parse(body), 1)]
-            columns = zip(*rows) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=RESP_OUT.names)
+            rows = []
+            for r, body in zip(batch.column(0), batch.column(1)):
+                rows += [(r.as_py(), k, *c) for k, c in enumerate(parse(body.as_py()), 1)]
+                if len(rows) >= ROWS:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
     return requests.select("req_id", "body").mapInArrow(run, RESP_OUT)
 

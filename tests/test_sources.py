@@ -191,6 +191,25 @@ def test_empty_requests(spark):
     assert resp.read(spark.createDataFrame([], RESP_IN)).collect() == []
 
 
+def test_commands_are_put_out_as_they_are_read(spark):
+    """A batch of many requests gives pieces of about ``ROWS`` commands, not one."""
+
+    class Once:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            body = request([("SET", "k", "v"), ("GET", "k", None)] * 25)
+            batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([body] * 2000)], names=["req_id", "body"])
+            return list(run(iter([batch])))
+
+    out = resp.read(Once())
+    assert sum(b.num_rows for b in out) == 100_000 and max(b.num_rows for b in out) < 10_100
+    assert out[3].slice(0, 2).to_pylist() == [{"req_id": 600, "idx": k, "op": op, "key": "k", "value": v, "error": None} for k, op, v in ((1, "SET", "v"), (2, "GET", None))]
+
+
 def test_inline_lines(spark):
     cases = {
         "SET a 1": ("SET", "a", "1", 3), "GET  a": ("GET", "a", "", 2), "SET a 'x y'": ("SET", "a", "x y", 3), r'MOD a "q\"r\\s"': ("MOD", "a", r'q"r\s', 3),
