@@ -12,11 +12,12 @@ compacted as it fills.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.table import KeyedTable
 from ..plans import fold
@@ -24,35 +25,37 @@ from ..plans import fold
 OUTPUT = "key string, seq bigint, op string, value string, got string, late boolean"
 
 
-class Fold(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("kv", "alive boolean, value string, seq bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        alive, value, last = self.state.get() if self.state.exists() else (False, None, -1)
-        out = []
-        for seq, op, new in zip(batch["seq"].tolist(), batch["op"].tolist(), batch["value"].tolist()):
-            late, got = seq <= last, None
-            if not late:
-                last = seq
-                if op == "SET" or (op == "MOD" and alive):
-                    alive, value = True, new
-                elif op == "DEL":
-                    alive, value = False, None
-                elif op == "GET" and alive:
-                    got = value
-            out.append((key[0], seq, op, value if alive else None, got, late))
-        self.state.update((alive, value, last))
-        yield pd.DataFrame(out, columns=["key", "seq", "op", "value", "got", "late"])
-
-    def close(self) -> None:
-        pass
+#: What is kept of a key.
+STATE = "alive boolean, value string, seq bigint"
+
+
+def fold_key(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The output of one key's rows of a micro-batch.  State comes and goes with the rows' own Arrow batches: a
+    stateful processor would ask the JVM for each key's, several times."""
+    columns = ([], [], [])
+    for part in rows:
+        for own, name in zip(columns, ("seq", "op", "value")):
+            own.extend(part[name].tolist())
+    alive, value, last = state.get if state.exists else (False, None, -1)
+    out = []
+    for seq, op, new in sorted(zip(*columns), key=itemgetter(0)):
+        late, got = seq <= last, None
+        if not late:
+            last = seq
+            if op == "SET" or (op == "MOD" and alive):
+                alive, value = True, new
+            elif op == "DEL":
+                alive, value = False, None
+            elif op == "GET" and alive:
+                got = value
+        out.append((key[0], seq, op, value if alive else None, got, late))
+    state.update((alive, value, last))
+    yield pd.DataFrame(out, columns=["key", "seq", "op", "value", "got", "late"])
 
 
 def fold_stream(commands: DataFrame) -> DataFrame:
     """One output row for each command: the key's value after it (null if absent), a GET's answer, lateness."""
-    return commands.groupBy("key").transformWithStateInPandas(Fold(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    return commands.groupBy("key").applyInPandasWithState(fold_key, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(commands: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -36,6 +36,15 @@ def test_stream(spark, tmp_path, rocksdb):
     assert all(r["op"] == "SET" and r["value"] != "late" for r in again if r["seq"] == 5)
 
 
+def test_state_comes_with_the_rows(spark, tmp_path):
+    """No call to the JVM for each key's state."""
+    from foldmill.streaming.state import fold_stream
+
+    frame(spark, random_log(23, n=20)).write.parquet(str(tmp_path / "in"))
+    plan = fold_stream(spark.readStream.schema(CMDLOG).parquet(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
+
+
 def test_stream_into_a_table(spark, tmp_path):
     """Micro-batches folded over a stored table, with compaction between them; run again after more input."""
     commands = random_log(22, n=900, keys=40)
